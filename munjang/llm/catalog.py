@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from munjang.llm import bpe
+from munjang.llm import bpe, packing, pivots, tokenfiles
 
-_QUERIES = {"op2_bpe_codec": bpe.op2_bpe_codec}
-_SQL: dict[str, str] = {}
+_QUERIES = {
+    "op2_bpe_codec": bpe.op2_bpe_codec,
+    "op6_token_counts": tokenfiles.op6_token_counts,
+    "op7_exact_top_k": pivots.op7_exact_top_k,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+}
+_SQL: dict[str, str] = {"op7_exact_top_k": pivots.OP7_SQL}
 
 
 def queries() -> dict:
