@@ -33,7 +33,8 @@ from munjang.llm import shared
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END = np.zeros(1, "<u4").tobytes()
-KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+#: Words whose ids a worker keeps in each of two generations, and the longest that it keeps.
+KEPT_WORDS, KEPT_LENGTH = 400_000, 64
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SEPARATOR = re.compile(r"[\x1c-\x1f]")
 
@@ -49,6 +50,7 @@ class WordTokens:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -59,13 +61,16 @@ class WordTokens:
         kept = self.kept
         if new := set(words).difference(kept):
             if len(kept) + len(new) > KEPT_WORDS:
-                kept.clear()
-                new = set(words)
-            got = dict(zip(order := list(new), self._encode(order), strict=True))
+                self.older, self.kept = kept, {}
+                kept, new = self.kept, set(words)
+            older = self.older
+            known = new & older.keys()
+            kept.update((w, older[w]) for w in known)
+            order = list(new - known)
+            got = dict(zip(order, self._encode(order), strict=True))
+            kept.update((w, x) for w, x in got.items() if len(w) <= KEPT_LENGTH)
             if any(len(w) > KEPT_LENGTH for w in order):
-                kept.update((w, x) for w, x in got.items() if len(w) <= KEPT_LENGTH)
                 return b"".join([kept[w] if w in kept else got[w] for w in words])
-            kept.update(got)
         return b"".join(map(kept.__getitem__, words))
 
 
