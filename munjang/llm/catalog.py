@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from munjang.llm import bpe, packing, pivots, tokenfiles
+from munjang.llm import bpe, fingerprints, packing, pivots, tokenfiles
 
 _QUERIES = {
     "op2_bpe_codec": bpe.op2_bpe_codec,
+    "op3_document_fingerprints": fingerprints.op3_document_fingerprints,
     "op6_token_counts": tokenfiles.op6_token_counts,
     "op7_exact_top_k": pivots.op7_exact_top_k,
     "op9_best_fit_packing": packing.op9_best_fit_packing,

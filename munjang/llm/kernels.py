@@ -132,3 +132,31 @@ def document_shingles(column: pa.Array, n: int = 5, lower: bool = True) -> Itera
     for lo, hi in slices(offsets):
         part = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         yield from shingles(part, part.hashes(lower), n)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An integer array as its byte planes, which block compression shrinks where high bytes are few."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unpack(blob: bytes, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(dtype).reshape(-1)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted uint64 values as differences of as few bytes as the largest needs."""
+    steps = np.diff(values, prepend=U64(0)) if len(values) else values
+    first, rest = steps[:1], steps[1:]
+    width = max(1, (int(rest.max()).bit_length() + 7) // 8) if len(rest) else 1
+    return bytes([width]) + first.tobytes() + rest.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    width, raw = blob[0], np.frombuffer(blob, np.uint8)[1:]
+    if not len(raw):
+        return np.zeros(0, U64)
+    rest = raw[8:].reshape(-1, width)
+    steps = np.zeros((1 + len(rest), 8), np.uint8)
+    steps[0], steps[1:, :width] = raw[:8], rest
+    return np.cumsum(steps.view(U64).reshape(-1), dtype=U64)
