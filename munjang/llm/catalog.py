@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from munjang.llm import bpe, fingerprints, packing, pivots, tokenfiles
+from munjang.llm import bpe, fingerprints, packing, pivots, substring, tokenfiles
 
 _QUERIES = {
     "op2_bpe_codec": bpe.op2_bpe_codec,
     "op3_document_fingerprints": fingerprints.op3_document_fingerprints,
     "op6_token_counts": tokenfiles.op6_token_counts,
     "op7_exact_top_k": pivots.op7_exact_top_k,
+    "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
-_SQL: dict[str, str] = {"op7_exact_top_k": pivots.OP7_SQL}
+_SQL: dict[str, str] = {"op7_exact_top_k": pivots.OP7_SQL, "op8_substring_dedup": substring.OP8_SQL}
 
 
 def queries() -> dict:
