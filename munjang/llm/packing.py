@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -53,7 +54,23 @@ class WordTokens:
         self.older: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        """Ids of words. Letters and digits never share a token with punctuation after them, and case is dropped, so a word is mostly made of parts met before."""
+        parts, bases = [], {}
+        for w in words:
+            base = w.rstrip(",.!?;:")
+            if len(base) == len(w) or not base or not (base[-1].isascii() and base[-1].isalnum()):
+                base = w
+            tail = w[len(base) :]
+            low = base.lower() if base.isascii() else base
+            parts.append((low, tail))
+            for x in (low, tail):
+                if x and x not in bases:
+                    bases[x] = self.kept.get(x) or self.older.get(x)
+        new = [x for x, ids in bases.items() if ids is None]
+        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            bases[x] = array("I", e.ids).tobytes()
+        self.kept.update((x, ids) for x, ids in bases.items() if len(x) <= KEPT_LENGTH)
+        return [bases[low] + (bases[tail] if tail else b"") for low, tail in parts]
 
     def encode(self, text: str) -> bytes:
         # U+001C to U+001F are space to Python alone.
