@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from munjang.llm import bpe, fingerprints, packing, pivots, substring, tokenfiles
+from munjang.llm import bpe, fingerprints, jaccard, packing, pivots, substring, tokenfiles
 
 _QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_bpe_codec": bpe.op2_bpe_codec,
     "op3_document_fingerprints": fingerprints.op3_document_fingerprints,
     "op6_token_counts": tokenfiles.op6_token_counts,
@@ -12,7 +13,7 @@ _QUERIES = {
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
-_SQL: dict[str, str] = {"op7_exact_top_k": pivots.OP7_SQL, "op8_substring_dedup": substring.OP8_SQL}
+_SQL: dict[str, str] = {"op1_ngram_jaccard": jaccard.OP1_SQL, "op7_exact_top_k": pivots.OP7_SQL, "op8_substring_dedup": substring.OP8_SQL}
 
 
 def queries() -> dict:
