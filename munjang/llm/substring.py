@@ -35,28 +35,18 @@ from munjang.llm.kernels import U64, Words, grams, pack, pack_sorted, slices, st
 
 WINDOW = 13
 #: Bits of the anchor bitmap (16 MB), and words that a task works on at a time.
-FILTER_BITS, RUN_WORDS = 27, 2_000_000
+FILTER_BITS, RUN_WORDS = 27, 4_000_000
 
 
-def _runs(batches: Iterator[pa.RecordBatch], limit: int = RUN_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[Words, np.ndarray, np.ndarray]]]]:
-    """Parts of documents (doc ids and text tags by row, then words, hashes and rows of each part) of about ``limit`` words together."""
-    ids, tags, parts, size, base = [], [], [], 0, 0
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Words, np.ndarray]]:
+    """Runs of documents of bounded size: their ids, text tags, words and word hashes."""
     for batch in batches:
         data, offsets = string_buffers(batch.column("text"))
-        doc_ids = batch.column("doc_id").to_numpy()
-        tag = batch.column("tag").to_numpy().astype(np.uint16)
+        ids = batch.column("doc_id").to_numpy()
+        tags = batch.column("tag").to_numpy().astype(np.uint16)
         for lo, hi in slices(offsets):
             words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            parts.append((words, words.hashes(False), base + np.arange(hi - lo)))
-            ids.append(doc_ids[lo:hi])
-            tags.append(tag[lo:hi])
-            base += hi - lo
-            size += len(words.starts)
-            if size >= limit:
-                yield np.concatenate(ids), np.concatenate(tags), parts
-                ids, tags, parts, size, base = [], [], [], 0, 0
-    if parts:
-        yield np.concatenate(ids), np.concatenate(tags), parts
+            yield ids[lo:hi], tags[lo:hi], words, words.hashes(False)
 
 
 def _whole(words: Words, n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,21 +66,30 @@ def anchors(texts: DataFrame, block: int, bits: int, ranges: int, filter_bits: i
     top = ranges.bit_length() - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, parts in _runs(batches):
-            values = []
-            for words, hashes, _ in parts:
-                h = grams(hashes, block)
-                ok, _, place = _whole(words, block, len(h))
-                aligned = (place % block == 0).astype(U64)
-                values.append((((h >> U64(64 - bits)) << U64(1)) | aligned)[ok])
-            v = np.concatenate(values)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            v = np.concatenate(held)
+            held.clear()
             v.sort()
-            twice = v[2:] == v[:-2]
-            v = v[np.append(np.ones(min(2, len(v)), bool), ~twice)]  # two of a kind tell as much as more
-            edges = np.searchsorted(v, np.arange(ranges + 1, dtype=U64) << U64(bits + 1 - top)) if top else np.array([0, len(v)])
-            edges[-1] = len(v)
-            full = [i for i in range(ranges) if edges[i] < edges[i + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack_sorted(v[edges[i] : edges[i + 1]]) for i in full], pa.binary())], ["part", "blob"])
+            v = v[np.append(np.ones(min(2, len(v)), bool), v[2:] != v[:-2])]  # two of a kind tell as much as more
+            edges = np.searchsorted(v, np.arange(ranges, dtype=U64) << U64(bits + 1 - top)) if top else np.array([0])
+            edges = np.append(edges, len(v))
+            full = np.flatnonzero(np.diff(edges)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack_sorted(v[edges[i] : edges[i + 1]]) for i in full], pa.binary())], ["part", "blob"])
+
+        for _, _, words, hashes in _parts(batches):
+            h = grams(hashes, block)
+            ok, _, place = _whole(words, block, len(h))
+            aligned = (place % block == 0).astype(U64)
+            held.append((((h >> U64(64 - bits)) << U64(1)) | aligned)[ok])
+            size += len(held[-1])
+            if size >= RUN_WORDS:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
 
     width = 1 << (filter_bits - top)
 
@@ -151,55 +150,80 @@ def windows(texts: DataFrame, window: int, block: int, bits: int, filter_bits: i
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sent.value
-        for ids, tags, parts in _runs(batches):
-            got: list[tuple[np.ndarray, ...]] = []
-            for words, hashes, rows in parts:
-                h = grams(hashes, block)
-                ok, _, _ = _whole(words, block, len(h))
-                at = (h >> U64(64 - filter_bits)).astype(np.int64)
-                hit = ok & ((seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-                w = grams(hashes, window)
-                ok, doc, place = _whole(words, window, len(w))
-                total = np.append(0, np.cumsum(hit))
-                # A window has window - block + 1 rolling runs.
-                reach = total[np.arange(len(w)) + window - block + 1] - total[np.arange(len(w))]
-                keep = np.flatnonzero(ok & (reach > 0))
-                got.append((w[keep], rows[doc[keep]], place[keep]))
-            w, row, place = (np.concatenate(x) for x in zip(*got, strict=True))
-            doc_id = ids[row]
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            w, doc_id, tag, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((doc_id, w))
-            w, row, place, doc_id = w[order], row[order], place[order].astype(np.uint32), doc_id[order]
+            w, doc_id, tag, place = w[order], doc_id[order], tag[order], place[order]
             first = np.append(True, w[1:] != w[:-1])[: len(w)]
-            least = doc_id[np.flatnonzero(first)][np.cumsum(first) - 1] if len(w) else doc_id
-            later = doc_id > least
-            out = [(1, g, blob) for g, blob in _marked(doc_id[later], tags[row[later]], place[later], groups)]
-            w, doc_id, tag, place = w[~later], doc_id[~later], tags[row[~later]], place[~later]
+            later = doc_id > doc_id[np.flatnonzero(first)][np.cumsum(first) - 1]
+            out = [(1, g, blob) for g, blob in _marked(doc_id[later], tag[later], place[later], groups)]
+            w, doc_id, tag, place = w[~later], doc_id[~later], tag[~later], place[~later]
             edges = np.searchsorted(w, np.arange(ranges, dtype=U64) << U64(64 - top)) if top else np.array([0])
             edges = np.append(edges, len(w))
-            for g in range(ranges):
+            for g in np.flatnonzero(np.diff(edges)).tolist():
                 a, b = edges[g], edges[g + 1]
-                if a < b:
-                    out.append((0, g, int(b - a).to_bytes(8, "little") + pack(w[a:b]) + pack(doc_id[a:b]) + pack(tag[a:b]) + pack(place[a:b])))
-            if out:
-                kind, part, blob = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["kind", "part", "blob"])
+                out.append((0, g, int(b - a).to_bytes(8, "little") + pack(w[a:b]) + pack(doc_id[a:b]) + pack(tag[a:b]) + pack(place[a:b])))
+            kind, part, blob = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["kind", "part", "blob"])
+
+        for ids, tags, words, hashes in _parts(batches):
+            h = grams(hashes, block)
+            ok, _, _ = _whole(words, block, len(h))
+            at = (h >> U64(64 - filter_bits)).astype(np.int64)
+            hit = ok & ((seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+            w = grams(hashes, window)
+            ok, doc, place = _whole(words, window, len(w))
+            total = np.append(0, np.cumsum(hit))
+            # A window has window - block + 1 rolling runs.
+            reach = total[np.arange(len(w)) + window - block + 1] - total[np.arange(len(w))]
+            keep = np.flatnonzero(ok & (reach > 0))
+            held.append((w[keep], ids[doc[keep]], tags[doc[keep]], place[keep].astype(np.uint32)))
+            size += len(keep)
+            if size >= RUN_WORDS // 2:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            out = list(_marked(*(np.concatenate(x) for x in zip(*found, strict=True)), groups))
+            found.clear()
+            part, blob = zip(*out, strict=True) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["part", "blob"])
+
         for _, table in shared.by_group(batches, "part"):
-            w, doc_id, tag, place = (np.concatenate(x) for x in zip(*(_unmark(b.as_py(), U64) for b in table["blob"]), strict=True))
+            kind = table["kind"].to_numpy()
+            done = table.filter(pa.array(kind == 1)).select(["part", "blob"])
+            yield from done.to_batches()
+            asked = table.filter(pa.array(kind == 0))["blob"]
+            if not len(asked):
+                continue
+            w, doc_id, tag, place = (np.concatenate(x) for x in zip(*(_unmark(b.as_py(), U64) for b in asked), strict=True))
             order = np.lexsort((doc_id, w))
             w, doc_id = w[order], doc_id[order]
             first = np.append(True, w[1:] != w[:-1])
             later = doc_id > doc_id[np.flatnonzero(first)][np.cumsum(first) - 1]
             rows = order[later]
-            out = list(_marked(doc_id[later], tag[rows], place[rows], groups))
-            if out:
-                part, blob = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["part", "blob"])
+            found.append((doc_id[later], tag[rows], place[rows]))
+            size += len(rows)
+            if size >= RUN_WORDS:
+                yield flush()
+                size = 0
+        if found:
+            yield flush()
 
-    looked = shared.save(texts.mapInArrow(look, "kind int, part int, blob binary"), "windows")
-    asked = looked.where("kind = 0").select("part", "blob").repartition(shared.partitions(texts.sparkSession), "part").sortWithinPartitions("part")
-    return looked.where("kind = 1").select("part", "blob").unionByName(asked.mapInArrow(settle, "part int, blob binary"))
+    # Marks that a task could settle travel with the open windows, so the texts are looked at once and nothing is kept besides.
+    n = shared.partitions(texts.sparkSession)
+    looked = texts.mapInArrow(look, "kind int, part int, blob binary").repartition(n, "part").sortWithinPartitions("part")
+    return looked.mapInArrow(settle, "part int, blob binary")
 
 
 def keep_mask(n_words: int, places: np.ndarray, window: int) -> np.ndarray:
@@ -226,7 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, filter_bits: int = FIL
     bits = max(hash_bits(docs.count()), filter_bits)
     ranges = 1 << max(0, (4 * shared.partitions(spark) - 1).bit_length())
     ranges = min(ranges, 1 << (filter_bits - 3))
-    groups = 4 * shared.partitions(spark) + 1
+    groups = shared.partitions(spark) + 1
     bitmap = anchors(texts, block, bits, ranges, filter_bits)
     marked = windows(texts, window, block, bits, filter_bits, ranges, groups, bitmap)
     taken = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
