@@ -74,12 +74,12 @@ def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
 class Words:
     """The words of some documents: start and end byte of each, and for each document the range of its words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE):
         self.data, self.offsets = data, offsets
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
-        gap = IS_SPACE[data]
+        gap = between[data]
         word = ~gap
         before = edge[:-1].copy()
         before[1:] |= gap[:-1]
@@ -90,15 +90,18 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
 
-    def hashes(self, lower: bool) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, A-Z taken as a-z if ``lower``."""
+    def hashes(self, lower: bool, *heads: int) -> np.ndarray | list[np.ndarray]:
+        """A 64-bit hash of each word's bytes, A-Z taken as a-z if ``lower``; with ``heads`` a list, the words' first so many bytes too."""
         n = len(self.data)
         up, down = _power_tables(n + 1)
         total = np.empty(n + 1, U64)
         total[0] = 0
         np.cumsum((_CODE_LOWER if lower else _CODE)[self.data] * up[:n], out=total[1:])
-        out = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(out + (self.ends - self.starts).astype(U64) * _STEP)
+        out = []
+        for k in (0, *heads):
+            ends = np.minimum(self.ends, self.starts + k) if k else self.ends
+            out.append(mix((total[ends] - total[self.starts]) * down[self.starts] + (ends - self.starts).astype(U64) * _STEP))
+        return out if heads else out[0]
 
 
 def grams(word_hashes: np.ndarray, n: int) -> np.ndarray:
