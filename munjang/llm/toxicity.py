@@ -1,9 +1,9 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are hashed lower-case words and word beginnings. On a bounded sample
-of labelled documents those are kept that tell the classes apart beyond
-chance; labelled toxic documents are graded by how much of their text these
-make up; and one weight vector with ordered thresholds is fitted:
+of labelled documents, one of each group of near copies, those are kept that
+tell the classes apart beyond chance; labelled toxic documents are graded by
+how many of these they hold; and one weight vector with ordered thresholds is fitted:
 P(grade >= k) = sigmoid(w x - threshold_k). The sum of these probabilities is
 the expected severity. Every document is scored, over its whole text.
 """
@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from munjang.llm.kernels import U64, Words, slices, string_buffers
+from munjang.llm.kernels import U64, Words, document_shingles, slices, string_buffers
 from munjang.llm.labelled import sample, sigmoid
 
 #: Labelled documents of each class, bits of a hashed feature, features kept at most, grades of toxic documents.
 PER_CLASS, BITS, FEATURES, GRADES = 2000, 20, 4096, 3
 #: Beginnings of words, in bytes, that are features besides the word.
 HEADS = (4, 5, 6)
-#: The least z-score of a feature's log-odds, and the least number of documents that hold it.
-LEAST_Z, LEAST_DOCS = 3.0, 4
+#: The least log-likelihood ratio and log-odds of a feature: with a million features few pass these by chance.
+LEAST_RATIO, LEAST_ODDS = 18.0, 2.5
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -63,17 +63,19 @@ class Ordinal:
 
 
 def choose(doc: np.ndarray, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Features whose presence speaks for or against y = 1 beyond chance, by the z-score of their log-odds."""
+    """Features whose presence speaks for y = 1 beyond chance, by their log-likelihood ratio."""
     pair = np.unique(doc.astype(np.int64) << BITS | ids)
     toxic = y[pair >> BITS] == 1
     a, b = (np.bincount(pair[m] & (1 << BITS) - 1, minlength=1 << BITS).astype(float) for m in (toxic, ~toxic))
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
+    part = lambda k, e: k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9))
+    held, share = a + b, n1 / (n1 + n0)
+    ratio = 2 * (part(a, held * share) + part(b, held * (1 - share)) + part(n1 - a, (n1 + n0 - held) * share) + part(n0 - b, (n1 + n0 - held) * (1 - share)))
     odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-    # Words that only clean documents hold say nothing about a toxic one.
-    z[(a + b < LEAST_DOCS) | (odds < 0)] = 0
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    return best[z[best] >= LEAST_Z]
+    # Words that clean documents hold more often say nothing about a toxic one.
+    ratio[odds < LEAST_ODDS] = 0
+    best = np.argsort(-ratio, kind="stable")[:FEATURES]
+    return best[ratio[best] >= LEAST_RATIO]
 
 
 def grade(load: np.ndarray, y: np.ndarray, grades: int) -> np.ndarray:
@@ -86,15 +88,15 @@ def grade(load: np.ndarray, y: np.ndarray, grades: int) -> np.ndarray:
     return out
 
 
-def fit(n: int, doc: np.ndarray, ids: np.ndarray, size: np.ndarray, y: np.ndarray, grades: int = GRADES, rounds: int = 400) -> Ordinal:
-    """Fit on n documents: occurrences (doc, feature id), number of words, 0/1 labels."""
+def fit(n: int, doc: np.ndarray, ids: np.ndarray, y: np.ndarray, grades: int = GRADES, rounds: int = 400) -> Ordinal:
+    """Fit on n documents: occurrences (doc, feature id) and 0/1 labels."""
     kept = choose(doc, ids, y)
     place = np.full(1 << BITS, -1)
     place[kept] = np.arange(len(kept))
     used = place[ids] >= 0
     pair, count = np.unique(doc[used].astype(np.int64) * max(1, len(kept)) + place[ids[used]], return_counts=True)
     row, column, value = pair // max(1, len(kept)), pair % max(1, len(kept)), np.log2(1.0 + count)
-    g = grade(np.bincount(row, value, n) / np.maximum(size, 1), y, grades)
+    g = grade(np.bincount(row, value, n), y, grades)
     top = max(1, int(g.max(initial=0)))
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * n
     w, first, gaps = np.full(len(kept), 0.5), np.array(1.0), np.zeros(top - 1)
@@ -129,22 +131,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ord
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y, at = batch.column("y").to_numpy(), 0
+            low = np.array([x[0] if len(x) else U64(0) for x in document_shingles(batch.column("text"))], U64).view(np.int64)
             for n, doc, ids in features(batch.column("text")):
                 order = np.argsort(doc, kind="stable")
                 own = np.split(ids[order].astype(np.int32), np.cumsum(np.bincount(doc, minlength=n))[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(y[at : at + n].astype(np.int32)), pa.array(own, pa.list_(pa.int32()))], ["y", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(y[at : at + n].astype(np.int32)), pa.array(low[at : at + n]), pa.array(own, pa.list_(pa.int32()))], ["y", "low", "ids"])
                 at += n
 
     picked = sample(docs.select("doc_id", "text"), labels, "toxic", per_class)
-    got = picked.mapInArrow(run, "y int, ids array<int>").toArrow().combine_chunks()
-    if not got.num_rows:
-        return Ordinal(np.zeros(1 << BITS), np.array([20.0]))
-    ids = got["ids"].combine_chunks() if isinstance(got["ids"], pa.ChunkedArray) else got["ids"]
-    sizes = np.diff(ids.offsets.to_numpy())
-    y = got["y"].to_numpy()
+    got = picked.mapInArrow(run, "y int, low long, ids array<int>").toPandas()
+    # Near copies mostly share their smallest shingle hash; the words of a copied text are no evidence of anything.
+    got = got.sort_values(["low", "y"], kind="stable").drop_duplicates(["y", "low"])
+    y = got.y.to_numpy()
     if not (y == 1).any():
         return Ordinal(np.zeros(1 << BITS), np.array([20.0]))
-    return fit(len(y), np.repeat(np.arange(len(y)), sizes), ids.flatten().to_numpy().astype(np.int64), sizes / (1 + len(HEADS)), y)
+    sizes = [len(x) for x in got.ids]
+    return fit(len(y), np.repeat(np.arange(len(y)), sizes), np.concatenate(list(got.ids)).astype(np.int64), y)
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
