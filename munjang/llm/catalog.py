@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from munjang.llm import bpe, fingerprints, jaccard, packing, pivots, quality, substring, tokenfiles, toxicity
+from munjang.llm import bpe, fingerprints, htmltext, jaccard, packing, pivots, quality, substring, tokenfiles, toxicity
 
 _QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_bpe_codec": bpe.op2_bpe_codec,
     "op3_document_fingerprints": fingerprints.op3_document_fingerprints,
+    "op4_html_text": htmltext.op4_html_text,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_counts": tokenfiles.op6_token_counts,
     "op7_exact_top_k": pivots.op7_exact_top_k,
