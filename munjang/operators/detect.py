@@ -159,7 +159,7 @@ def notes(fitted: bool = False) -> Column:
     each = [
         F.when(F.col("n_chars") < R.MIN_CHARS, F.format_string("%d자로 판정 불가. 최소 150자가 필요합니다 — 짧은 글은 어떤 탐지기도 신뢰할 수 없습니다.", F.col("n_chars"))),
         F.when(F.col("n_chars").between(R.MIN_CHARS, R.CONFIDENT_CHARS - 1), F.format_string("%d자는 신호가 얕습니다. 400자 이상 권장.", F.col("n_chars"))),
-        F.lit(None if fitted else "융합 가중치가 아직 실측 피팅되지 않았습니다. scripts/calibrate.py 실행 전에는 점수를 상대 비교용으로만 쓰세요."),
+        F.lit(None if fitted else "융합 가중치가 아직 실측 피팅되지 않았습니다. 점수를 상대 비교용으로만 쓰세요."),
         F.when(skipped > 0, F.format_string("'%s' 장르에서는 %d개 지표가 판별력이 없거나 방향이 뒤집혀 계산에서 제외했습니다.", F.col("genre"), skipped)),
     ]
     return F.filter(F.array(*each), lambda x: x.isNotNull())
