@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from munjang.functions import metrics as M
 from munjang.functions import registry as R
@@ -208,13 +209,18 @@ def sentence_spans(text: Column | str, sents: Column | str) -> Column:
 
 
 def sentence_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, idx, start, end, text, score, hit_ids, hit_names of every sentence: the weight of the hits that begin in it, for its length."""
+    """doc_id, idx, start, end, text, score, hit_ids, hit_names of every sentence: the weight of the hits that begin in it, for its length.
+
+    Sentences and hits of a document are put in one order of places, and each
+    hit takes the last sentence before it: no pairs of sentences and hits.
+    """
     text = without_marks(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")))
     plain = docs.select("doc_id", text.alias("text"))
-    places = plain.withColumn("sents", sentences("text")).select("doc_id", sentence_spans("text", "sents").alias("places"))
-    grouped = hits(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ord", "pattern_id", "name", (F.col("weight") * (0.6 + 0.2 * F.col("severity"))).alias("w")))).alias("hits"))
-    rows = places.join(grouped, "doc_id", "left").select("doc_id", F.posexplode("places").alias("idx", "s"), F.coalesce("hits", F.array().cast("array<struct<start:int,end:int,ord:int,pattern_id:string,name:string,w:double>>")).alias("hits"))
-    own = F.filter("hits", lambda h: (h["start"] >= F.col("s.start")) & (h["start"] < F.col("s.end")))
-    rows = rows.select("doc_id", "idx", "s.*", own.alias("own"))
+    places = plain.select("doc_id", F.posexplode(sentence_spans("text", sentences("text"))).alias("idx", "s")).select("doc_id", "idx", "s.*")
+    found = hits(docs).select("doc_id", "start", F.struct("start", "end", "ord", "pattern_id", "name", (F.col("weight") * (0.6 + 0.2 * F.col("severity"))).alias("w")).alias("hit"))
+    before = Window.partitionBy("doc_id").orderBy("start", F.col("hit").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    order = places.select("doc_id", "start", F.struct("idx", "start", "end", "text").alias("s"), F.lit(None).cast(found.schema["hit"].dataType).alias("hit")).unionByName(found, allowMissingColumns=True)
+    held = order.withColumn("s", F.last("s", ignorenulls=True).over(before)).where("s IS NOT NULL AND (hit IS NULL OR hit.start < s.end)")
+    rows = held.groupBy("doc_id", "s.idx").agg(F.first("s").alias("s"), F.array_sort(F.collect_list("hit")).alias("own")).select("doc_id", "idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"), "own")
     load = F.aggregate("own", F.lit(0.0), lambda a, h: a + h["w"]) / F.greatest(F.length("text"), F.lit(1)) * 100
     return rows.select("doc_id", "idx", "start", "end", "text", F.round(M.clip(100 * (1 - F.exp(-load / 5)), 0.0, 100.0), 1).alias("score"), F.col("own.pattern_id").alias("hit_ids"), F.col("own.name").alias("hit_names"))
