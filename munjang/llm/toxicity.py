@@ -22,7 +22,7 @@ from munjang.llm.kernels import U64, Words, document_shingles, slices, string_bu
 from munjang.llm.labelled import sample, sigmoid
 
 #: Labelled documents of each class, bits of a hashed feature, features kept at most, grades of toxic documents.
-PER_CLASS, BITS, FEATURES, GRADES = 2000, 20, 4096, 3
+PER_CLASS, BITS, FEATURES, GRADES = 1500, 20, 4096, 3
 #: Beginnings of words, in bytes, that are features besides the word.
 HEADS = (4, 5, 6)
 #: The least log-likelihood ratio and log-odds of a feature: with a million features few pass these by chance.
@@ -64,9 +64,8 @@ class Ordinal:
 
 def choose(doc: np.ndarray, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Features whose presence speaks for y = 1 beyond chance, by their log-likelihood ratio."""
-    pair = np.unique(doc.astype(np.int64) << BITS | ids)
-    toxic = y[pair >> BITS] == 1
-    a, b = (np.bincount(pair[m] & (1 << BITS) - 1, minlength=1 << BITS).astype(float) for m in (toxic, ~toxic))
+    toxic = y[doc] == 1
+    a, b = (np.bincount(ids[m], minlength=1 << BITS).astype(float) for m in (toxic, ~toxic))
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     part = lambda k, e: k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9))
     held, share = a + b, n1 / (n1 + n0)
@@ -88,14 +87,13 @@ def grade(load: np.ndarray, y: np.ndarray, grades: int) -> np.ndarray:
     return out
 
 
-def fit(n: int, doc: np.ndarray, ids: np.ndarray, y: np.ndarray, grades: int = GRADES, rounds: int = 400) -> Ordinal:
-    """Fit on n documents: occurrences (doc, feature id) and 0/1 labels."""
+def fit(n: int, doc: np.ndarray, ids: np.ndarray, counts: np.ndarray, y: np.ndarray, grades: int = GRADES, rounds: int = 400) -> Ordinal:
+    """Fit on n documents: (doc, feature id, count) and 0/1 labels."""
     kept = choose(doc, ids, y)
     place = np.full(1 << BITS, -1)
     place[kept] = np.arange(len(kept))
     used = place[ids] >= 0
-    pair, count = np.unique(doc[used].astype(np.int64) * max(1, len(kept)) + place[ids[used]], return_counts=True)
-    row, column, value = pair // max(1, len(kept)), pair % max(1, len(kept)), np.log2(1.0 + count)
+    row, column, value = doc[used], place[ids[used]], np.log2(1.0 + counts[used])
     g = grade(np.bincount(row, value, n), y, grades)
     top = max(1, int(g.max(initial=0)))
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * n
@@ -133,20 +131,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ord
             y, at = batch.column("y").to_numpy(), 0
             low = np.array([x[0] if len(x) else U64(0) for x in document_shingles(batch.column("text"))], U64).view(np.int64)
             for n, doc, ids in features(batch.column("text")):
-                order = np.argsort(doc, kind="stable")
-                own = np.split(ids[order].astype(np.int32), np.cumsum(np.bincount(doc, minlength=n))[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(y[at : at + n].astype(np.int32)), pa.array(low[at : at + n]), pa.array(own, pa.list_(pa.int32()))], ["y", "low", "ids"])
+                pair, count = np.unique(doc << BITS | ids, return_counts=True)
+                cuts = np.cumsum(np.bincount(pair >> BITS, minlength=n))[:-1]
+                own, often = np.split((pair & (1 << BITS) - 1).astype(np.int32), cuts), np.split(count.astype(np.int32), cuts)
+                kinds = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(y[at : at + n].astype(np.int32)), pa.array(low[at : at + n]), pa.array(own, kinds), pa.array(often, kinds)], ["y", "low", "ids", "counts"])
                 at += n
 
     picked = sample(docs.select("doc_id", "text"), labels, "toxic", per_class)
-    got = picked.mapInArrow(run, "y int, low long, ids array<int>").toPandas()
+    got = picked.mapInArrow(run, "y int, low long, ids array<int>, counts array<int>").toPandas()
     # Near copies mostly share their smallest shingle hash; the words of a copied text are no evidence of anything.
     got = got.sort_values(["low", "y"], kind="stable").drop_duplicates(["y", "low"])
     y = got.y.to_numpy()
     if not (y == 1).any():
         return Ordinal(np.zeros(1 << BITS), np.array([20.0]))
     sizes = [len(x) for x in got.ids]
-    return fit(len(y), np.repeat(np.arange(len(y)), sizes), np.concatenate(list(got.ids)).astype(np.int64), y)
+    return fit(len(y), np.repeat(np.arange(len(y)), sizes), np.concatenate(list(got.ids)).astype(np.int64), np.concatenate(list(got.counts)), y)
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
