@@ -8,7 +8,8 @@ many documents share come last. Classes that share such a shingle form a
 block. In a block a signature tree is built: leaves are classes, a node holds
 the OR of its children's token bitmaps and the range of their sizes. A dual
 traversal from the root drops pairs of nodes whose largest possible overlap is
-too small, and pairs that are linked already; the rest is compared exactly.
+too small, and pairs that are linked already. Blocks need only bitmaps and
+sizes; the token sets of the pairs that are left are fetched and compared exactly.
 
 Blocks have a bounded number of members. Large groups of near copies first
 shrink: classes with the same smallest hash are joined, then one class for
@@ -33,8 +34,8 @@ from munjang.llm.kernels import U64, document_shingles, pack, unpack
 N_WORDS, PERCENT = 5, 75
 #: Cells of the count sketch, members of a block that one task compares, entries of one shingle that one range gathers, postings that a task sends at a time.
 CELL_BITS, BLOCK, SALT, RUN = 20, 256, 100_000, 2_000_000
-#: Bits of a token bitmap, children of a node, bits of the bitmap that picks the classes whose sets are needed.
-TOKEN_BITS, FAN, PICK_BITS = 2048, 8, 24
+#: Bits of a node's token bitmap, most bits of a class's own, children of a node, bits of the bitmap that picks the classes whose sets are needed.
+TOKEN_BITS, OWN_BITS, FAN, PICK_BITS = 2048, 1 << 18, 8, 24
 _SLICES = 16
 
 
@@ -169,14 +170,14 @@ def postings(docs: DataFrame, order: np.ndarray, ranges: int, percent: int) -> D
     return met.mapInArrow(gather, "key long, members array<long>, large boolean")
 
 
-def token_sets(docs: DataFrame, picked: np.ndarray) -> DataFrame:
-    """(cls, n, tokens) once for each class whose place in the bitmap is set."""
+def _of_classes(docs: DataFrame, picked: np.ndarray, columns: dict[str, tuple[str, pa.DataType, object]]) -> DataFrame:
+    """``columns`` (SQL type, Arrow type, function of a token set) once for each class whose place in the bitmap is set."""
     sent = docs.sparkSession.sparkContext.broadcast(picked)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            cls, blobs = [], []
+            cls, rows = [], []
             for tokens in document_shingles(batch.column("text"), N_WORDS):
                 if not len(tokens) or (c := class_of(tokens)) in seen:
                     continue
@@ -184,8 +185,9 @@ def token_sets(docs: DataFrame, picked: np.ndarray) -> DataFrame:
                 if sent.value[at >> 3] >> (7 - (at & 7)) & 1:
                     seen.add(c)
                     cls.append(c)
-                    blobs.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(blobs, pa.binary())], ["cls", "tokens"])
+                    rows.append([f(tokens) for _, _, f in columns.values()])
+            values = [pa.array([r[i] for r in rows], kind) for i, (_, kind, _) in enumerate(columns.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), *values], ["cls", *columns])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -194,20 +196,47 @@ def token_sets(docs: DataFrame, picked: np.ndarray) -> DataFrame:
             new = [i for i, c in enumerate(ids) if not (c in seen or seen.add(c))]
             yield batch.take(pa.array(new, pa.int64()))
 
-    found = docs.mapInArrow(find, "cls long, tokens binary").repartition(shared.partitions(docs.sparkSession), "cls")
-    return shared.save(found.mapInArrow(once, "cls long, tokens binary"), "token-sets")
+    types = "cls long" + "".join(f", {name} {sql}" for name, (sql, _, _) in columns.items())
+    return docs.mapInArrow(find, types).repartition(shared.partitions(docs.sparkSession), "cls").mapInArrow(once, types)
+
+
+def token_bits(tokens: np.ndarray) -> bytes:
+    """A bitmap of at least two places for each token, by the lowest bits of its hash; halves of it laid over each other make a smaller one."""
+    width = TOKEN_BITS
+    while width < 2 * len(tokens) and width < OWN_BITS:
+        width *= 2
+    bits = np.zeros(width, bool)
+    bits[(tokens & U64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def fold(bits: bytes, width: int = TOKEN_BITS) -> np.ndarray:
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width // 8), axis=0).view(U64)
+
+
+def may_match(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
+    """Whether the widest bitmaps that both have leave the overlap that a link needs."""
+    width = 8 * min(len(a), len(b))
+    x, y = fold(a, width), fold(b, width)
+    over = min(na - int(np.bitwise_count(x).sum(dtype=np.int64)), nb - int(np.bitwise_count(y).sum(dtype=np.int64)))
+    return (100 + percent) * (int(np.bitwise_count(x & y).sum(dtype=np.int64)) + over) >= percent * (na + nb)
+
+
+def signatures(docs: DataFrame, picked: np.ndarray) -> DataFrame:
+    """(cls, low, size, bits): smallest hash, number of tokens and token bitmap."""
+    columns = {"low": ("long", pa.int64(), lambda x: int(x[:1].view(np.int64)[0])), "size": ("long", pa.int64(), len), "bits": ("binary", pa.binary(), token_bits)}
+    return shared.save(_of_classes(docs, picked, columns), "signatures")
+
+
+def token_sets(docs: DataFrame, picked: np.ndarray) -> DataFrame:
+    """(cls, tokens)."""
+    return _of_classes(docs, picked, {"tokens": ("binary", pa.binary(), lambda x: x.tobytes())})
 
 
 class SignatureTree:
     """Levels of nodes over token sets: OR of bitmaps, range of sizes, most tokens beyond the set bits, range of labels."""
 
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray):
-        n = len(sets)
-        size = np.array([len(x) for x in sets], np.int64)
-        bits = np.zeros((n, TOKEN_BITS), bool)
-        for i, x in enumerate(sets):
-            bits[i, (x & U64(TOKEN_BITS - 1)).astype(np.int64)] = True
-        maps = np.packbits(bits, axis=1).view(U64)
+    def __init__(self, maps: np.ndarray, size: np.ndarray, labels: np.ndarray):
         over = size - np.bitwise_count(maps).sum(1, dtype=np.int64)
         self.levels = [(maps, size, size, over, labels, labels)]
         while len(self.levels[-1][1]) > FAN:
@@ -251,49 +280,58 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def tree_join(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between labels that make all similar sets connected; pairs that are connected already are passed over."""
-    by = np.lexsort(([len(x) for x in sets], [x[0] for x in sets]))
-    sets, labels = [sets[i] for i in by], labels[by]
-    i, j = SignatureTree(sets, labels).pairs(percent)
-    root: dict[int, int] = {}
+def candidates(blocks: DataFrame, signs: DataFrame, percent: int, star: bool) -> DataFrame:
+    """Pairs (a, b, la, lb) of classes with different labels that the trees of their blocks (block, cls, label) leave. ``star``: for each class only the first partner of its block, to shrink groups of near copies."""
 
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in shared.by_group(batches, "block"):
+            if table.num_rows < 2:
+                continue
+            cls, label, size, low = (table[c].to_numpy() for c in ("cls", "label", "size", "low"))
+            by = np.lexsort((cls, size, low))
+            cls, label = cls[by], label[by]
+            size, bits = size[by], table["bits"].to_pylist()
+            bits = [bits[k] for k in by]
+            i, j = SignatureTree(np.stack([fold(x) for x in bits]), size, label).pairs(percent)
+            apart = label[i] != label[j]
+            wide = np.array([8 * len(x) > TOKEN_BITS for x in bits])
+            for k in np.flatnonzero(apart & wide[i] & wide[j]).tolist():
+                apart[k] = may_match(bits[i[k]], bits[j[k]], int(size[i[k]]), int(size[j[k]]), percent)
+            i, j = i[apart], j[apart]
+            if star:
+                order = np.lexsort((i, j))
+                i, j = i[order], j[order]
+                first = np.append(True, j[1:] != j[:-1])[: len(j)]
+                i, j = i[first], j[first]
+            if len(i):
+                flip = cls[i] > cls[j]
+                i, j = np.where(flip, j, i), np.where(flip, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cls[i], cls[j], label[i], label[j])], ["a", "b", "la", "lb"])
 
-    out, left = [], len(set(labels.tolist()))
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = int(labels[a]), int(labels[b])
-        if (rx := find(x)) != (ry := find(y)) and similar(sets[a], sets[b], percent):
-            root[rx] = ry
-            out.append((x, y))
-            left -= 1
-            if left == 1:
-                break
-    return out
+    n = shared.partitions(blocks.sparkSession)
+    met = blocks.join(signs, "cls").select("block", "cls", "label", "size", "low", "bits").repartition(n, "block").sortWithinPartitions("block")
+    return shared.save(met.mapInArrow(run, "a long, b long, la long, lb long").distinct(), "pairs")
 
 
-def link(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of labels within ``blocks`` (block, cls, label)."""
+def links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Labels (a, b) of the pairs that are similar, compared exactly."""
+    sets = token_sets(docs, shared.bitmap(pairs.selectExpr("a AS cls").union(pairs.selectExpr("b AS cls")), "cls", PICK_BITS))
+    sets = shared.save(sets, "token-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in shared.by_group(batches, "block"):
-            if table.num_rows > 1:
-                out = tree_join([np.frombuffer(x.as_py(), U64) for x in table["tokens"]], table["label"].to_numpy(), percent)
-                if out:
-                    a, b = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for batch in batches:
+            ok = [similar(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    n = shared.partitions(blocks.sparkSession)
-    met = blocks.join(sets, "cls").select("block", "label", "tokens").repartition(n, "block").sortWithinPartitions("block")
-    return met.mapInArrow(run, "a long, b long")
+    met = pairs.join(sets.selectExpr("cls AS a", "tokens AS x"), "a").join(sets.selectExpr("cls AS b", "tokens AS y"), "b")
+    return met.selectExpr("la AS a", "lb AS b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links).selectExpr("id AS label", "root")
+def relabel(docs: DataFrame, labels: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Labels after the similar ones of ``pairs`` are linked."""
+    if pairs.isEmpty():
+        return labels
+    roots = components(links(docs, pairs, percent)).selectExpr("id AS label", "root")
     return shared.save(labels.join(roots, "label", "left").selectExpr("cls", "coalesce(root, label) AS label"), "labels")
 
 
@@ -314,25 +352,36 @@ def class_labels(docs: DataFrame, ready: DataFrame, percent: int) -> DataFrame:
     blocks = small.withColumn("large", F.lit(False)).unionByName(rows.where("large"))
     members = shared.save(blocks.select("key", "large", F.explode("members").alias("cls")), "members")
     labels = members.select("cls").distinct().withColumn("label", F.col("cls"))
-    sets = token_sets(docs, shared.bitmap(labels, "cls", PICK_BITS))
+    signs = signatures(docs, shared.bitmap(labels, "cls", PICK_BITS))
 
     # Classes with the same smallest hash, chunk by chunk; then one class for each component.
-    low = sets.select("cls", F.conv(F.hex(F.reverse(F.substring("tokens", 1, 8))), 16, -10).cast("long").alias("low"))
-    low = shared.save(low.join(labels, "cls"), "low")
-    labels = relabel(labels, link(chunked(low, "low"), sets, percent))
+    low = signs.select("cls", "low").join(labels, "cls")
+    labels = relabel(docs, labels, candidates(chunked(low, "low"), signs, percent, True), percent)
     at = members.join(labels, "cls")
-    one_each = at.groupBy("key", "label").agg(F.min("cls").alias("cls"))
-    labels = relabel(labels, link(chunked(one_each, "key"), sets, percent))
-
-    # What still holds several components, in full: all pairs of chunks, links within a component passed over.
-    at = shared.save(members.join(labels, "cls"), "members")
-    counts = at.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    chunks = F.ceil(F.col("size") / (BLOCK // 2)).cast("long")
-    own = F.pmod(F.xxhash64("cls"), F.col("chunks"))
-    dealt = at.join(counts.withColumn("chunks", F.when(F.col("size") <= BLOCK, F.lit(1)).otherwise(chunks)).select("key", "chunks"), "key").withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
-    crossed = dealt.select("key", "cls", "label", "own", other).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "cls", "label")
-    return relabel(labels, link(crossed, sets, percent))
+    one_each = shared.save(at.groupBy("key", "label").agg(F.min("cls").alias("cls"), F.count("*").alias("n")), "one-each")
+    # Keys of few members with a label each are compared in full by this round.
+    rest = one_each.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels")).where((F.col("n") > F.col("labels")) | (F.col("n") > BLOCK)).select("key")
+    one_each = one_each.drop("n")
+    labels = relabel(docs, labels, candidates(chunked(one_each, "key"), signs, percent, False), percent)
+
+    # What still holds several components, in full. Keys of many members with one most frequent label are taken as one group, as a
+    # group of near copies shares many keys; its members of that label are not compared among themselves.
+    at = shared.save(members.join(rest, "key").join(labels, "cls"), "members")
+    per_label = at.groupBy("key", "label").agg(F.count("*").alias("n"))
+    keys = per_label.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
+    at = at.join(keys.select("key", "size", "main"), "key")
+    blocks = at.where(F.col("size") <= BLOCK).select(F.xxhash64("key").alias("block"), "cls", "label")
+    half = BLOCK // 2
+    many = at.where(F.col("size") > BLOCK).select("main", "cls", "label", (F.col("label") == F.col("main")).alias("inner")).distinct()
+    parts = many.groupBy("main").agg(*(F.greatest(F.lit(1), F.ceil(F.count_if(c) / half)).cast("long").alias(k) for k, c in (("inners", F.col("inner")), ("others", ~F.col("inner")))))
+    many = many.join(parts, "main").withColumn("own", F.pmod(F.xxhash64("cls"), F.when(F.col("inner"), F.col("inners")).otherwise(F.col("others"))))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
+    block = lambda *x: F.xxhash64(F.col("main"), *x).alias("block")
+    inner = many.where("inner").select("*", each("others")).select(block(F.lit(0), "own", "other"), "cls", "label")
+    outer = many.where("NOT inner").select("*", each("inners")).select(block(F.lit(0), "other", "own"), "cls", "label")
+    among = many.where("NOT inner AND others > 1").select("*", each("others")).select(block(F.lit(1), F.least("own", "other"), F.greatest("own", "other")), "cls", "label")
+    blocks = blocks.unionByName(inner).unionByName(outer).unionByName(among)
+    return relabel(docs, labels, candidates(blocks, signs, percent, False), percent)
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
