@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from munjang.llm import bpe, fingerprints, htmltext, jaccard, packing, pivots, quality, substring, tokenfiles, toxicity
 
 _QUERIES = {
@@ -15,6 +16,7 @@ _QUERIES = {
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "pipeline": corpus_pipeline.run,
 }
 _SQL: dict[str, str] = {"op1_ngram_jaccard": jaccard.OP1_SQL, "op7_exact_top_k": pivots.OP7_SQL, "op8_substring_dedup": substring.OP8_SQL}
 

@@ -405,6 +405,13 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.join(found, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose document is the first of its component. Equal rows of one doc_id become one; rows without a doc_id, which no component names, stay."""
+    firsts = join(docs, percent).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -215,6 +215,19 @@ def score(docs: DataFrame, model: Quality | None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: Quality | None) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score`` keeps."""
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.probability(text_features(batch.column("text")), metadata_features(batch)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

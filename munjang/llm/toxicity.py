@@ -166,6 +166,17 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, p_toxic double, severity double, grade int, is_toxic boolean")
 
 
+def drop_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score`` does not call toxic."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.at_least(sent.value.scores(batch.column("text")))[:, 0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
