@@ -39,7 +39,7 @@ REWRITES = [
 TEXTS = [
     (1, "급변하는 현대 사회에서, 기술은 중요하다. 이 연구는 변화를 보여준다. 많은 전문가들이 말한다. 크게 향상될 수 있을 것으로 보인다.", "essay"),
     (2, "하지만, 문제가 있다. 따라서, 대응이 필요하다.\n또한 정책이 중요한 역할을 한다. 첫째, 교육이다. 둘째, 안전망이다. 결론적으로, 협력해야 한다.", "column"),
-    (3, "솔직히 나는 잘 모르겠다. 그때 어제 일이 힘들었다. 근데 그냥 막막했다. 내가 도와주면 좋겠다.", "blog"),
+    (3, "솔직히 나는 잘 모르겠다. 그때 이미 어제 일이 힘들었다. 근데 나중에 그냥 막막했다. 내가 도와주면 좋겠다.", "blog"),
     (4, "- 첫 항목\n- 둘째 항목\n• 셋째 항목\n* 넷째 항목\n- 다섯째 항목\n**굵게** 그리고 **또 굵게** 그리고 **한 번 더** (여섯 글자 넘게)", "report"),
     (5, "회의를 하고, 자료를 만들고, 정리를 하며, 발표를 하면서, 마쳤다. 비가 오지만, 갔다.", "abstract"),
     (6, "", "essay"),
