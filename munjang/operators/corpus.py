@@ -111,3 +111,16 @@ def generation_prompts(topics: DataFrame, count: int, length: int = 900) -> Data
     temperature = F.element_at(F.array(*map(F.lit, TEMPERATURES)), (F.pmod(F.xxhash64("i", F.lit(2)), F.lit(len(TEMPERATURES))) + 1).cast("int"))
     prompt = F.replace(F.replace(template, F.lit("{topic}"), F.col("topic")), F.lit("{n}"), F.lit(str(length)))
     return wanted.join(numbered, "k").select("i", "topic", prompt.alias("prompt"), temperature.alias("temperature"))
+
+
+def adversarial(docs: DataFrame, level: str = "aggressive") -> DataFrame:
+    """(doc_id, genre, text) of documents as the rules rewrite them; rewrites that were given up are left out."""
+    from munjang.operators.rewrite import polish
+
+    out = polish(docs, level, scores=False).where("NOT aborted").select("doc_id", "text")
+    return docs.select("doc_id", "genre").join(out, "doc_id").select("doc_id", "genre", "text")
+
+
+def classes(human: DataFrame, machine: DataFrame) -> DataFrame:
+    """Both corpora as one table with label 0 and 1."""
+    return human.withColumn("label", F.lit(0)).unionByName(machine.withColumn("label", F.lit(1)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from munjang.functions import metrics as M
 from munjang.functions import registry as R
 from munjang.functions import text as T
-from munjang.operators import calibrate, corpus, detect, evaluate, history, prompt, rewrite
+from munjang.operators import calibrate, corpus, detect, evaluate, history, prompt, report, rewrite
 from munjang.plans import fixtures as X
 from munjang.sources import documents as S
 
@@ -532,3 +532,95 @@ def jn_4(spark, d):
     places = docs.select("doc_id", F.posexplode(detect.sentence_spans("text", T.sentences("text"))).alias("idx", "s"))
     met = places.join(found, "doc_id").where((F.col("start") >= F.col("s.start")) & (F.col("start") < F.col("s.end")))
     return met.groupBy("doc_id", "idx").agg(F.count("*").alias("n"))
+
+
+# Single layers, gates and joins with the fixed tables
+
+for _name, _layer in (("agg_5_l1", "l1"), ("agg_2_l2_density", "l2"), ("agg_6_l3_rhythm", "l3"), ("agg_3_l4_human_evidence", "l4")):
+
+    def _one(spark: SparkSession, d: str, layer: str = _layer) -> DataFrame:
+        both = documents(spark, d).select("doc_id", "text", "genre").unionByName(X.texts(spark).withColumn("doc_id", F.col("doc_id") - 100))
+        return detect.layers(both).select("doc_id", F.round(layer, 6).alias("value"))
+
+    query(_name, f"SELECT doc_id, {_layer} AS value FROM ({layers_sql(f"{DOCS_SQL} UNION ALL SELECT doc_id - 100, text, genre FROM ({TEXTS_SQL})")})")(_one)
+
+
+@query("flt_1_pattern_subset", f"SELECT doc_id, ({count_sql(R.BY_ID['C-1'])} + {count_sql(R.BY_ID['H-1'])})::BIGINT AS n FROM ({TEXTS_SQL})")
+def flt_1(spark, d):
+    counts = detect.pattern_counts(F.col("text"), ("C-1", "H-1", "no such id"))
+    return X.texts(spark).select("doc_id", F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+
+
+_LEVELS = [(level, p.id) for level in (*R.RISKS, "unknown") for p in rewrite.rules(level)]
+
+
+@query("flt_3_risk_gate", f"SELECT * FROM {X.values([(lv, p.id) for lv, top in (('safe', 0), ('moderate', 1), ('aggressive', 2), ('unknown', 1)) for p in R.PATTERNS if p.id in rewrite.REWRITES and R.RISKS.index(p.risk) <= top], 't', 'level, pattern_id')}")
+def flt_3(spark, d):
+    return spark.createDataFrame(_LEVELS, "level string, pattern_id string")
+
+
+@query("flt_11_detect_only", f"SELECT * FROM {X.values([(p.id,) for p in R.PATTERNS if p.id not in rewrite.REWRITES], 't', 'pattern_id')}")
+def flt_11(spark, d):
+    return detect.registry_table(spark).where(~F.col("pattern_id").isin(*rewrite.REWRITES)).select("pattern_id")
+
+
+@query("flt_12_long_paragraphs", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda p: length(p) >= 40))::BIGINT AS n, coalesce(len(regexp_extract_all(text, '[가-힣]'))::DOUBLE / nullif(length(text), 0), 0.0) AS hangul FROM documents")
+def flt_12(spark, d):
+    return documents(spark, d).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda p: F.length(p) >= corpus.PARAGRAPH_CHARS)).cast("long").alias("n"), corpus.hangul_share(F.col("text")).alias("hangul"))
+
+
+@query("prj_2_registry_columns", f"SELECT * FROM {X.values([(p.id, R.CATEGORIES[p.id[0]], p.id in rewrite.REWRITES) for p in R.PATTERNS], 't', 'pattern_id, category_name, rewritable')}")
+def prj_2(spark, d):
+    return detect.registry_table(spark).select("pattern_id", "category_name", F.col("pattern_id").isin(*rewrite.REWRITES).alias("rewritable"))
+
+
+_CELLS = [(g, m, c[0], c[1]) for g, cells in R.BASELINES.items() for m, c in cells.items() if c]
+
+
+@query("jn_3_baselines", f"SELECT doc_id, metric, human::DOUBLE AS human, ai::DOUBLE AS ai FROM ({DOCS_SQL}) JOIN {X.values(_CELLS, 'b', 'genre, metric, human, ai')} USING (genre)")
+def jn_3(spark, d):
+    cells = spark.createDataFrame(_CELLS, "genre string, metric string, human double, ai double")  # 14 rows
+    return documents(spark, d).select("doc_id", M.genre_cell("genre").alias("genre")).join(F.broadcast(cells), "genre").select("doc_id", "metric", "human", "ai")
+
+
+@query("agg_20_length_slices", "SELECT CASE WHEN n_chars < 150 THEN '0-150' WHEN n_chars < 400 THEN '150-400' WHEN n_chars < 1000 THEN '400-1000' ELSE '1000+' END AS slice, count(*)::BIGINT AS n FROM documents GROUP BY 1")
+def agg_20(spark, d):
+    return table(spark, d, "documents").groupBy(evaluate.length_slice("n_chars").alias("slice")).agg(F.count("*").alias("n"))
+
+
+@query("win_4_kth_highest", "SELECT lang, score FROM (SELECT lang, n_chars AS score, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC) AS r, floor(count(*) OVER (PARTITION BY lang) * 0.05)::BIGINT + 1 AS k FROM documents) WHERE r = k")
+def win_4(spark, d):
+    rows = table(spark, d, "documents").select(F.col("lang").alias("slice"), F.lit(0).alias("positive"), F.col("n_chars").cast("double").alias("score"))
+    return evaluate.operating_points(rows, (0.05,)).select(F.col("slice").alias("lang"), F.round("threshold", 0).cast("long").alias("score"))
+
+
+@query("his_3_get", "SELECT event_id AS id, event_type AS kind FROM events WHERE event_id = 7")
+def his_3(spark, d):
+    return history.get(_log(spark, d), 7).select("id", "kind")
+
+
+@query("set_6_classes", "SELECT doc_id, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS label FROM documents WHERE lang IN ('en', 'de')")
+def set_6(spark, d):
+    docs = documents(spark, d).select("doc_id", "lang")
+    return corpus.classes(docs.where("lang = 'en'"), docs.where("lang = 'de'")).select("doc_id", "label")
+
+
+@query("evl_5_adversarial", f"SELECT doc_id, {X.quoted('essay')} AS genre, text FROM {X.values([(c, e) for c, lv, _, e in X.REWRITES if lv == 'moderate'], 't', 'doc_id, text')}")
+def evl_5(spark, d):
+    return corpus.adversarial(X.rewrites(spark, "moderate"), "moderate")
+
+
+@query("snk_6_report_json")
+def snk_6(spark, d):
+    return report.report_json(X.texts(spark))
+
+
+@query("snk_5_report_text")
+def snk_5(spark, d):
+    return report.report_text(X.texts(spark))
+
+
+@query("snk_6_unified_diff", "SELECT case_id, CASE WHEN a = b THEN '' ELSE '--- before' || chr(10) || '+++ after' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-' || a || chr(10) || '+' || b END AS diff FROM " + X.values([(c, t, e) for c, _, t, e in X.REWRITES if "\n" not in t], "t", "case_id, a, b"))
+def snk_6_diff(spark, d):
+    rows = spark.createDataFrame([(c, t, e) for c, _, t, e in X.REWRITES if "\n" not in t], "case_id string, a string, b string")
+    return rows.select("case_id", report.unified_diff("a", "b").alias("diff"))
