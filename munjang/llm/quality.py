@@ -34,12 +34,12 @@ _SETS = {
     "line": [0x0A],
 }
 _MASKS = {k: np.isin(np.arange(256), v) for k, v in _SETS.items()}
-#: Hash slots of a language or source.
-_SLOTS = 32
+#: Hash slots of a language or source, and number of text statistics.
+_SLOTS, TEXT_FEATURES = 32, 13
 
 
 def text_features(column: pa.Array) -> np.ndarray:
-    """Statistics of each text: shares of character classes, words, repeats of words and of five-word runs."""
+    """Statistics of each text: shares of character classes, words, repeats of words and of five-word runs, and whether some of them are far out."""
     data, offsets = string_buffers(column)
     out = []
     for lo, hi in slices(offsets):
@@ -60,9 +60,14 @@ def text_features(column: pa.Array) -> np.ndarray:
         for i, (a, k) in enumerate(zip(words.first[:-1].tolist(), words.counts.tolist(), strict=True)):
             if k >= 6:
                 again[i] = 1 - len(np.unique(five[a : a + k - 4])) / (k - 4)
+        upper, mark, once = sums["upper"] / letters, sums["mark"] / n, run / n
         out.append(
             np.column_stack(
                 [
+                    upper > 0.7,
+                    mark > 0.4,
+                    once > 0.3,
+                    again > 0.6,
                     sums["upper"] / letters,
                     np.sqrt(sums["mark"] / n),
                     np.sqrt(sums["digit"] / size),
@@ -75,7 +80,7 @@ def text_features(column: pa.Array) -> np.ndarray:
                 ]
             )
         )
-    return np.concatenate(out) if out else np.zeros((0, 9))
+    return np.concatenate(out) if out else np.zeros((0, TEXT_FEATURES))
 
 
 def metadata_features(batch: pa.RecordBatch) -> np.ndarray:
@@ -189,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool:
         return None
     parts = [got[got.y >= 0], got[got.y < 0]]
     stack = lambda part, c, width: np.stack(part[c].to_numpy()) if len(part) else np.zeros((0, width))
-    views, spare = ([stack(p, "x", 9), stack(p, "m", 2 * _SLOTS + 2)] for p in parts)
+    views, spare = ([stack(p, "x", TEXT_FEATURES), stack(p, "m", 2 * _SLOTS + 2)] for p in parts)
     return co_train(views, parts[0].y.to_numpy(float), parts[0].doc_id.to_numpy(), spare, counts[1] / (counts[0] + counts[1]))
 
 
