@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Units whose ids a worker keeps, and the longest that it keeps.
+#: Units and pre-tokens whose ids a worker keeps in each of two generations, and the longest that it keeps.
 KEPT_UNITS, KEPT_LENGTH = 400_000, 64
 _UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -78,6 +78,7 @@ class Codec:
         self.automaton.make_automaton()
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
@@ -125,23 +126,37 @@ class Codec:
         return tuple(out[::-1])
 
     def _unit(self, unit: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.encode_piece(x.encode()) for x in self.split(unit)))
+        """Ids of one unit; its pre-tokens are mostly ones that other units had."""
+        out: list[int] = []
+        for piece in self.split(unit):
+            ids = self.kept.get(piece) or self.older.get(piece)
+            if ids is None:
+                ids = self.encode_piece(piece.encode())
+                if len(piece) <= KEPT_LENGTH:
+                    self.kept[piece] = ids
+            out += ids
+        return tuple(out)
 
     def _plain(self, text: str) -> list[int]:
         if _OTHER_SPACE.search(text):  # runs of white space are then not cut where units are
             return list(chain.from_iterable(self.encode_piece(x.encode()) for x in self.split(text)))
-        units, kept = _UNIT.findall(text), self.kept
-        if new := set(units).difference(kept):
-            if len(kept) + len(new) > KEPT_UNITS:
-                kept.clear()
+        units = _UNIT.findall(text)
+        if new := set(units).difference(self.kept):
+            if len(self.kept) + len(new) > KEPT_UNITS:
+                self.older, self.kept = self.kept, {}
                 new = set(units)
-            long = {u: self._unit(u) for u in new if len(u) > KEPT_LENGTH}
-            for u in new:
+            older = self.older
+            known = new & older.keys()
+            self.kept.update((u, older[u]) for u in known)
+            long = {}
+            for u in new - known:
                 if len(u) <= KEPT_LENGTH:
-                    kept[u] = self._unit(u)
+                    self.kept[u] = self._unit(u)
+                else:
+                    long[u] = self._unit(u)
             if long:
-                return list(chain.from_iterable([long[u] if u in long else kept[u] for u in units]))
-        return list(chain.from_iterable(map(kept.__getitem__, units)))
+                return list(chain.from_iterable([long[u] if u in long else self.kept[u] for u in units]))
+        return list(chain.from_iterable(map(self.kept.__getitem__, units)))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
