@@ -16,6 +16,7 @@ from munjang.functions import text as T
 from munjang.operators import calibrate, corpus, detect, evaluate, history, prompt, report, rewrite
 from munjang.plans import fixtures as X
 from munjang.sources import documents as S
+from munjang.sources.tables import over_all_cores, read_table
 
 GENRE_SQL = "CASE lang WHEN 'en' THEN 'essay' WHEN 'fr' THEN 'column' WHEN 'de' THEN 'report' WHEN 'es' THEN 'abstract' ELSE 'essay' END"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,11 +34,11 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, folder, name)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text", "lang", "source", F.expr(GENRE_SQL).alias("genre"))
+    return over_all_cores(table(spark, folder, "documents").select("doc_id", "text", "lang", "source", F.expr(GENRE_SQL).alias("genre")))
 
 
 # SQL fragments. No query text has white space beyond ASCII, so RE2's \s agrees.
