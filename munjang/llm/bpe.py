@@ -28,6 +28,8 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from munjang.llm import shared
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Units and pre-tokens whose ids a worker keeps in each of two generations, and the longest that it keeps.
 KEPT_UNITS, KEPT_LENGTH = 400_000, 64
@@ -198,7 +200,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 text_hash.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return shared.texts(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from munjang.llm import shared
 from munjang.llm.kernels import U64, Words, slices, string_buffers
 
 PATH_SLOTS, WORD_SLOTS, HIDDEN, PAGES, EPOCHS, SEED = 512, 64, 24, 1000, 11, 7
@@ -429,7 +430,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
                 texts = main_texts(part.column("html").to_pylist(), sent.value)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return shared.texts(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

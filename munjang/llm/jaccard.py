@@ -33,7 +33,7 @@ from munjang.llm.kernels import U64, document_shingles, pack, unpack
 
 N_WORDS, PERCENT = 5, 75
 #: Cells of the count sketch, members of a block that one task compares, entries of one shingle that one range gathers, postings that a task sends at a time.
-CELL_BITS, BLOCK, SALT, RUN = 20, 256, 100_000, 2_000_000
+CELL_BITS, BLOCK, SALT, RUN = 20, 256, 100_000, 1_000_000
 #: Bits of a node's token bitmap, most bits of a class's own, children of a node, bits of the bitmap that picks the classes whose sets are needed.
 TOKEN_BITS, OWN_BITS, FAN, PICK_BITS = 2048, 1 << 18, 8, 24
 _SLICES = 16
@@ -393,7 +393,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     is no component's name; its component is that of the other documents it is
     linked with, null if there are none.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = shared.texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     ready = shared.save(features(texts), "features")
     labels = class_labels(texts, ready, percent)
     rows = ready.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "cls")

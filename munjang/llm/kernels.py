@@ -41,7 +41,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         up, down = np.full(size, _BASE, U64), np.full(size, _BASE_INV, U64)
         up[0] = down[0] = 1
         _powers[:] = [np.cumprod(up), np.cumprod(down)]
@@ -61,7 +61,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of documents of about ``limit`` bytes; a longer document is a run of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

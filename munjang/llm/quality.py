@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from munjang.llm import shared
 from munjang.llm.kernels import Words, grams, slices, string_buffers
 from munjang.llm.labelled import held_out, logistic, logits, sample, sigmoid
 
@@ -217,7 +218,7 @@ def score(docs: DataFrame, model: Quality | None) -> DataFrame:
             p = sent.value.probability(x, m)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid(sent.value.text.calibrated(x))), pa.array(sigmoid(sent.value.metadata.calibrated(m))), pa.array(p), pa.array(p >= 0.5)], ["doc_id", "p_text", "p_metadata", "p_quality", "keep"])
 
-    return docs.mapInArrow(run, schema)
+    return shared.texts(docs).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: Quality | None) -> DataFrame:
@@ -230,7 +231,7 @@ def keep_good(docs: DataFrame, model: Quality | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(sent.value.probability(text_features(batch.column("text")), metadata_features(batch)) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shared.texts(docs).mapInArrow(run, docs.schema)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

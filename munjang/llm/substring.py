@@ -245,7 +245,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, filter_bits: int = FIL
     """
     spark = docs.sparkSession
     tag = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.xxhash64("text").bitwiseAND(65535)).cast("int")
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), "text")
+    texts = shared.texts(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), "text"))
     block = (window + 1) // 2
     bits = max(hash_bits(docs.count()), filter_bits)
     ranges = 1 << max(0, (4 * shared.partitions(spark) - 1).bit_length())

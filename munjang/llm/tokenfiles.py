@@ -73,7 +73,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
         yield from flush(True)
 
     schema = pa.schema([("stream", pa.int64()), ("shard", pa.int64()), ("uri", pa.string()), ("n_tokens", pa.int64()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "stream long, shard long, uri string, n_tokens long, ordinal long, doc_id long")
+    return shared.texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "stream long, shard long, uri string, n_tokens long, ordinal long, doc_id long")
 
 
 def scan_block(tokens: np.ndarray, end_id: int) -> np.ndarray:

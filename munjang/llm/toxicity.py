@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from munjang.llm import shared
 from munjang.llm.kernels import U64, Words, document_shingles, slices, string_buffers
 from munjang.llm.labelled import sample, sigmoid
 
@@ -163,7 +164,7 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
             each = np.column_stack([np.ones(len(p)), p]) - np.column_stack([p, np.zeros(len(p))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p[:, 0]), pa.array(p.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(p[:, 0] >= 0.5)], ["doc_id", "p_toxic", "severity", "grade", "is_toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, p_toxic double, severity double, grade int, is_toxic boolean")
+    return shared.texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, p_toxic double, severity double, grade int, is_toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
@@ -174,7 +175,7 @@ def drop_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(sent.value.at_least(sent.value.scores(batch.column("text")))[:, 0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shared.texts(docs).mapInArrow(run, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
