@@ -10,6 +10,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def over_all_cores(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many parts as there are cores: a small table of long texts often lies in one. A table of more parts is left where it is."""
+    """``df`` in at least two parts for each core: a small table of long texts often lies in one. A table of more parts is left where it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
