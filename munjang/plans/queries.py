@@ -80,7 +80,7 @@ METRIC_SQL = {
     "declarative_ratio": ratio(f"len(list_filter(s, lambda x: coalesce(regexp_matches({LAST}, '{M.DECLARATIVE}'), false)))", "len(s)"),
 }
 DOCS_SQL = f"SELECT doc_id, coalesce(text, '') AS text, {GENRE_SQL} AS genre FROM documents"
-TEXTS_SQL = f"SELECT * FROM {X.values(X.TEXTS, 't', 'doc_id, text, genre')}"
+TEXTS_SQL = f"SELECT doc_id::BIGINT AS doc_id, text, genre FROM {X.values(X.TEXTS, 't', 'doc_id, text, genre')}"
 
 
 def split_sql(source: str) -> str:
