@@ -268,7 +268,7 @@ def str_13(spark, d):
 
 @query("str_14_change_rate")
 def str_14(spark, d):
-    return documents(spark, d).select("doc_id", F.substring("text", 1, 400).alias("a"), F.substring(F.upper("text"), 1, 400).alias("b")).select("doc_id", rewrite.change_rate("a", "b").alias("rate"))
+    return documents(spark, d).select("doc_id", rewrite.change_rate("text", F.upper("text")).alias("rate"))
 
 
 @query("str_15_n_chars", f"SELECT doc_id, length({strip('text')})::BIGINT AS n FROM documents")

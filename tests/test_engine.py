@@ -1,5 +1,7 @@
 """Scores, hits and rewrites: known answers, bounds and invariants."""
 
+import difflib
+import random
 import zlib
 
 import pytest
@@ -180,3 +182,31 @@ def test_log_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("logged").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted(r.text for r in spark.table("logged").collect()) == ["a", "b"]
+
+
+def _difflib_matched(a, b):
+    return sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_matched_as_difflib():
+    r = random.Random(5)
+    for n in range(600):
+        letters = "ab" if n % 2 else "abcdef 가나😀"
+        a = "".join(r.choices(letters, k=r.randint(0, 120)))
+        b = list(a) if n % 3 else r.choices(letters, k=r.randint(0, 120))
+        for _ in range(r.randint(0, 6)):
+            b.insert(r.randint(0, len(b)), r.choice(letters))
+            del b[r.randrange(len(b))]
+        assert rewrite.matched(a, "".join(b)) == _difflib_matched(a, "".join(b)), (a, b)
+    a = PERSON * 3
+    assert rewrite.matched(a, a[40:300] + "x" + a[200:]) == _difflib_matched(a, a[40:300] + "x" + a[200:])
+
+
+def test_change_rate_of_whole_texts(spark, tmp_path):
+    from munjang.plans.queries import QUERIES
+
+    texts = ["ABC 123, " * 60 + "all of it differs here " * 20, "same in front. " * 30 + "Then CAPITALS. " * 30, "", "1" * 500]
+    rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.rate for r in QUERIES["str_14_change_rate"](spark, str(tmp_path)).collect()}
+    assert got == {i: 1 - difflib.SequenceMatcher(None, t, t.upper(), autojunk=False).ratio() if t else 0.0 for i, t in enumerate(texts)}
