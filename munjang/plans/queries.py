@@ -41,6 +41,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return over_all_cores(table(spark, folder, "documents").select("doc_id", "text", "lang", "source", F.expr(GENRE_SQL).alias("genre")))
 
 
+def all_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the inline texts, whose ids are put below those of documents."""
+    return documents(spark, folder).select("doc_id", "text", "genre").unionByName(X.texts(spark).withColumn("doc_id", F.col("doc_id") - 100))
+
+
 # SQL fragments. No query text has white space beyond ASCII, so RE2's \s agrees.
 def strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -321,6 +326,12 @@ def agg_1(spark, d):
     return counts.join(F.broadcast(detect.registry_table(spark).select("ord", "pattern_id", "context")), "ord").where("n > 0 AND NOT context LIKE '%final'").select("doc_id", "pattern_id", F.col("n").cast("long").alias("n"))
 
 
+@query("agg_1_pattern_counts_on_documents")
+def agg_1_documents(spark, d):
+    counts = all_texts(spark, d).select("doc_id", F.posexplode(detect.pattern_counts(F.col("text"))).alias("ord", "n")).where("n > 0")
+    return counts.join(F.broadcast(detect.registry_table(spark).select("ord", "pattern_id")), "ord").select("doc_id", "pattern_id", F.col("n").cast("long").alias("n"))
+
+
 _PLAIN = [R.BY_ID[k] for k in ("C-2", "C-5", "C-9", "C-10", "C-50", "J-2", "J-3", "J-4")]
 
 
@@ -331,7 +342,16 @@ def flt_2(spark, d):
 
 @query("agg_4_human_counts", f"SELECT doc_id, {', '.join(f'{n_matches("text", re2(h.expression))}::BIGINT AS {h.id.replace("-", "_").lower()}' for h in R.HUMAN)} FROM ({TEXTS_SQL})")
 def agg_4(spark, d):
-    c = X.texts(spark).select("doc_id", detect.human_counts(F.col("text")).alias("c"))
+    return _human_counts(X.texts(spark))
+
+
+@query("agg_4_human_counts_on_documents")
+def agg_4_documents(spark, d):
+    return _human_counts(all_texts(spark, d))
+
+
+def _human_counts(docs: DataFrame) -> DataFrame:
+    c = docs.select("doc_id", detect.human_counts(F.col("text")).alias("c"))
     return c.select("doc_id", *[F.col("c")[i].cast("long").alias(h.id.replace("-", "_").lower()) for i, h in enumerate(R.HUMAN)])
 
 
@@ -399,12 +419,12 @@ def rw_1(spark, d):
 
 @query("rw_2_polish")
 def rw_2(spark, d):
-    return rewrite.polish(X.texts(spark), "aggressive").select("doc_id", "text", "change_rate", "aborted", "before_score", "after_score", "improved", F.to_json("changes").alias("changes"))
+    return rewrite.polish(all_texts(spark, d), "aggressive").select("doc_id", "text", "change_rate", "aborted", "before_score", "after_score", "improved", F.to_json("changes").alias("changes"))
 
 
 @query("str_16_prompts")
 def str_16(spark, d):
-    return prompt.prompts(X.texts(spark))
+    return prompt.prompts(all_texts(spark, d))
 
 
 # Evaluation: score and class are made from the tables, so SQL can follow.
@@ -548,8 +568,17 @@ for _name, _layer in (("agg_5_l1", "l1"), ("agg_2_l2_density", "l2"), ("agg_6_l3
 
 @query("flt_1_pattern_subset", f"SELECT doc_id, ({count_sql(R.BY_ID['C-1'])} + {count_sql(R.BY_ID['H-1'])})::BIGINT AS n FROM ({TEXTS_SQL})")
 def flt_1(spark, d):
+    return _subset_counts(X.texts(spark))
+
+
+@query("flt_1_pattern_subset_on_documents")
+def flt_1_documents(spark, d):
+    return _subset_counts(all_texts(spark, d))
+
+
+def _subset_counts(docs: DataFrame) -> DataFrame:
     counts = detect.pattern_counts(F.col("text"), ("C-1", "H-1", "no such id"))
-    return X.texts(spark).select("doc_id", F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    return docs.select("doc_id", F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
 
 
 _LEVELS = [(level, p.id) for level in (*R.RISKS, "unknown") for p in rewrite.rules(level)]
@@ -611,14 +640,19 @@ def evl_5(spark, d):
     return corpus.adversarial(X.rewrites(spark, "moderate"), "moderate")
 
 
+@query("evl_5_adversarial_on_documents")
+def evl_5_documents(spark, d):
+    return corpus.adversarial(all_texts(spark, d), "moderate")
+
+
 @query("snk_6_report_json")
 def snk_6(spark, d):
-    return report.report_json(X.texts(spark))
+    return report.report_json(all_texts(spark, d))
 
 
 @query("snk_5_report_text")
 def snk_5(spark, d):
-    return report.report_text(X.texts(spark))
+    return report.report_text(all_texts(spark, d))
 
 
 @query("snk_6_unified_diff", "SELECT case_id, CASE WHEN a = b THEN '' ELSE '--- before' || chr(10) || '+++ after' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-' || a || chr(10) || '+' || b END AS diff FROM " + X.values([(c, t, e) for c, _, t, e in X.REWRITES if "\n" not in t], "t", "case_id, a, b"))

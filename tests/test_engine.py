@@ -210,3 +210,23 @@ def test_change_rate_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.rate for r in QUERIES["str_14_change_rate"](spark, str(tmp_path)).collect()}
     assert got == {i: 1 - difflib.SequenceMatcher(None, t, t.upper(), autojunk=False).ratio() if t else 0.0 for i, t in enumerate(texts)}
+
+
+def test_queries_over_documents_and_inline_texts(spark, tmp_path):
+    from munjang.plans.queries import QUERIES
+
+    late = "본문 문장이다. " * 20 + "향후 계획을 세운다."
+    docs = [(1, MACHINE, "en", "web"), (2, PERSON, "fr", "web"), (3, late, "de", "web"), (4, "The cat  sat , there.", "es", "web")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    ids = sorted([1, 2, 3, 4, *[i - 100 for i, _, _ in X.TEXTS]])
+    for name in ("rw_2_polish", "str_16_prompts", "snk_5_report_text", "snk_6_report_json", "agg_4_human_counts_on_documents", "flt_1_pattern_subset_on_documents"):
+        rows = run(name)
+        assert sorted(r.doc_id for r in rows) == ids, name
+        if name == "rw_2_polish":
+            alone = {r.doc_id - 100: r.text for r in rewrite.polish(X.texts(spark), "aggressive").collect()}
+            polished = {r.doc_id: r.text for r in rows}
+            assert polished[4] == "The cat sat, there." and polished[1] != MACHINE and {k: polished[k] for k in alone} == alone
+    found = {(r.doc_id, r.pattern_id): r.n for r in run("agg_1_pattern_counts_on_documents")}
+    assert found[3, "D-11"] == 1 and {k[0] for k in found} >= {1, 3, -99}
+    assert {r.doc_id for r in run("evl_5_adversarial_on_documents")} & {1, 2, 3, 4}
