@@ -25,10 +25,24 @@ def newest(rows: DataFrame, n: int = KEPT, by: str = "id") -> DataFrame:
     return rows.orderBy(F.desc(by)).limit(n)
 
 
+def _without_repeats_by_range(rows: DataFrame, by: str = "id") -> DataFrame:
+    """``without_repeats`` of one log of any size: each range of ids looks back in itself, and its first row at the last one of the range before."""
+    now = F.struct("text", "kind")
+    said = rows.where(F.coalesce(F.trim("text"), F.lit("")) != "")
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = said.agg(F.min(by).alias("_low"), F.max(by).alias("_high"))
+    part = F.floor((F.col(by) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * ranges)
+    dealt = said.crossJoin(F.broadcast(ends)).withColumn("_range", part).drop("_low", "_high")
+    edges = dealt.groupBy("_range").agg(F.max_by(now, by).alias("_edge")).withColumn("_edge", F.lag("_edge").over(Window.orderBy("_range")))
+    last = F.coalesce(F.lag(now).over(Window.partitionBy("_range").orderBy(by)), F.col("_edge"))
+    marked = dealt.join(F.broadcast(edges), "_range").withColumn("_last", last)
+    return marked.where(F.col("_last").isNull() | (F.col("_last") != now)).drop("_last", "_edge", "_range")
+
+
 def append(log: DataFrame, new: DataFrame, kept: int = KEPT) -> DataFrame:
-    """The log with new rows: consecutive repeats dropped, previews made, the newest kept. Only the kept rows of the log are looked at, so the ordered step is on a bounded table."""
+    """The log with new rows: blank texts and consecutive repeats dropped from all of them, previews made, then the newest kept."""
     both = newest(log, kept + 1).unionByName(new.withColumn("preview", preview("text")), allowMissingColumns=True)
-    return newest(without_repeats(newest(both, 2 * kept + 2)), kept)
+    return newest(_without_repeats_by_range(both), kept)
 
 
 def recent(log: DataFrame, n: int = SHOWN) -> DataFrame:

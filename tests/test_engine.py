@@ -151,6 +151,16 @@ def test_history(spark):
     assert [r.id for r in out.collect()] == [3]
 
 
+def test_append_past_repeats_and_blanks(spark):
+    kinds = "id long, kind string, text string, score double"
+    log = spark.createDataFrame([(i, "detect", t, 1.0) for i, t in enumerate("xyz", 1)], kinds).withColumn("preview", F.lit("p"))
+    new = [(10, "detect", "m", 1.0), *[(i, "detect", "hot", 1.0) for i in range(11, 41)], *[(i, "detect", " ", 1.0) for i in range(41, 71)]]
+    assert [r.id for r in history.append(log, spark.createDataFrame(new, kinds), kept=3).collect()] == [11, 10, 3]
+    rows = [(i, "detect", "ab "[(i * i // 7) % 3], 1.0) for i in range(300)]
+    want = {r.id for r in history.without_repeats(spark.createDataFrame(rows, kinds)).collect()}
+    assert {r.id for r in history.append(log.limit(0), spark.createDataFrame(rows, kinds)).collect()} == want
+
+
 def test_calibration(spark):
     rows = [(i, i % 2, float(i % 2) + (i % 7) * 0.3, 0.5 * (i % 3), 0.1 * (i % 5), 0.2 * (i % 4)) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, label int, l1 double, l2 double, l3 double, l4 double")
