@@ -61,7 +61,7 @@ class WordTokens:
             if len(base) == len(w) or not base or not (base[-1].isascii() and base[-1].isalnum()):
                 base = w
             tail = w[len(base) :]
-            low = base.lower() if base.isascii() else base
+            low = base.lower() if base.isascii() and "<|" not in base else base  # added tokens are found in the raw text
             parts.append((low, tail))
             for x in (low, tail):
                 if x and x not in bases:

@@ -310,6 +310,18 @@ def first_fit_decreasing(lengths, capacity):
     return len(room)
 
 
+def test_added_tokens_in_upper_case():
+    from tokenizers import Tokenizer
+    from public_tokenizers import path
+
+    lib = Tokenizer.from_file(path(packing.VOCABULARY))
+    lib.no_padding()
+    lib.no_truncation()
+    coder = packing.WordTokens(path(packing.VOCABULARY))
+    for text in ("<|EndOfText|>", "<|ENDOFTEXT|>", "<|STARTOFTEXT|>", "<|StartOfText|>.", "<|endoftext|>", "<|startoftext|>", "Some <|EndOfText|> words<|ENDOFTEXT|>, More", "a<|B"):
+        assert np.frombuffer(coder.encode(text), np.uint32).tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
