@@ -12,14 +12,12 @@ broadcast plan, whose size is bounded by the sequence length.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,65 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from munjang.llm import shared
+from munjang.llm.wordbpe import WordTokens
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END = np.zeros(1, "<u4").tobytes()
-#: Words whose ids a worker keeps in each of two generations, and the longest that it keeps.
-KEPT_WORDS, KEPT_LENGTH = 400_000, 64
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SEPARATOR = re.compile(r"[\x1c-\x1f]")
-
-
-class WordTokens:
-    """Ids of whole texts as little-endian uint32, by a ``tokenizers`` file whose pre-tokenizer drops white space; a worker keeps the ids of a bounded number of words."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of words. Letters and digits never share a token with punctuation after them, and case is dropped, so a word is mostly made of parts met before."""
-        parts, bases = [], {}
-        for w in words:
-            base = w.rstrip(",.!?;:")
-            if len(base) == len(w) or not base or not (base[-1].isascii() and base[-1].isalnum()):
-                base = w
-            tail = w[len(base) :]
-            low = base.lower() if base.isascii() and "<|" not in base else base  # added tokens are found in the raw text
-            parts.append((low, tail))
-            for x in (low, tail):
-                if x and x not in bases:
-                    bases[x] = self.kept.get(x) or self.older.get(x)
-        new = [x for x, ids in bases.items() if ids is None]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            bases[x] = array("I", e.ids).tobytes()
-        self.kept.update((x, ids) for x, ids in bases.items() if len(x) <= KEPT_LENGTH)
-        return [bases[low] + (bases[tail] if tail else b"") for low, tail in parts]
-
-    def encode(self, text: str) -> bytes:
-        # U+001C to U+001F are space to Python alone.
-        words = _WORD.findall(text) if _SEPARATOR.search(text) else text.split()
-        kept = self.kept
-        if new := set(words).difference(kept):
-            if len(kept) + len(new) > KEPT_WORDS:
-                self.older, self.kept = kept, {}
-                kept, new = self.kept, set(words)
-            older = self.older
-            known = new & older.keys()
-            kept.update((w, older[w]) for w in known)
-            order = list(new - known)
-            got = dict(zip(order, self._encode(order), strict=True))
-            kept.update((w, x) for w, x in got.items() if len(w) <= KEPT_LENGTH)
-            if any(len(w) > KEPT_LENGTH for w in order):
-                return b"".join([kept[w] if w in kept else got[w] for w in words])
-        return b"".join(map(kept.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -102,33 +46,38 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task, seen = word_tokens(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = tokens.encode(value.as_py() or "") + END
-                total = len(ids) // 4
-                for k, start in enumerate(range(0, total, capacity)):
-                    length = min(capacity, total - start)
-                    rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, int(seen[length])))
-                    seen[length] += 1
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"])
-
+            docs = iter(batch.column("doc_id").to_pylist())
+            for ids, ends in tokens.columns(batch.column("text")):
+                raw = memoryview(ids.astype("<u4").tobytes())
+                rows: list[tuple] = []
+                for doc, a, b in zip(islice(docs, len(ends) - 1), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    total = b - a + 1
+                    for k, start in enumerate(range(0, total, capacity)):
+                        length = min(capacity, total - start)
+                        crc = zlib.crc32(raw[4 * (a + start) : 4 * min(a + start + length, b)])
+                        if start + length == total:
+                            crc = zlib.crc32(END, crc)
+                        rows.append((doc, k, start, length, crc, task, int(seen[length])))
+                        seen[length] += 1
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
     return shared.texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long")
 
 
 def best_two(lengths: list[int], counts: list[int], room: int, above: int) -> tuple[int, int] | None:
-    """The two unpacked lengths whose sum is largest, over ``above`` and at most ``room``."""
-    best, found, i, j = above, None, 0, bisect_right(lengths, room) - 1
-    while i <= j:
-        total = lengths[i] + lengths[j]
-        if total > room or (i == j and counts[i] < 2):
+    """The two unpacked lengths whose sum is largest, over ``above`` and at most ``room``; two of one length if there are two."""
+    unpacked = [(k, n) for k, n in zip(lengths, counts, strict=True) if n and k <= room]
+    best, found, i, j = above, None, 0, len(unpacked) - 1
+    while i < j or i == j and unpacked[i][1] > 1:
+        total = unpacked[i][0] + unpacked[j][0]
+        if total > room:
             j -= 1
             continue
-        if total > best and counts[i] and counts[j]:
-            best, found = total, (lengths[i], lengths[j])
-            if best == room:
-                break
+        if total > best:
+            best, found = total, (unpacked[i][0], unpacked[j][0])
         i += 1
     return found
 

@@ -361,6 +361,41 @@ def test_plan_uses_every_piece():
     assert packing.best_two([3, 4, 6], [1, 2, 1], 9, 7) == (3, 6) and packing.best_two([4], [1], 9, 7) is None
 
 
+def test_best_two_against_all_pairs():
+    r = random.Random(1)
+    for _ in range(20_000):
+        lengths = sorted(r.sample(range(1, 30), r.randint(1, 8)))
+        counts = [r.choice((0, 0, 0, 1, 1, 2, 3)) for _ in lengths]
+        room = r.randint(1, 60)
+        above = r.randint(0, room)
+        sums = [a + b for i, a in enumerate(lengths) for j, b in enumerate(lengths) if i <= j and counts[i] and counts[j] and (i != j or counts[i] > 1) and above < a + b <= room]
+        got = packing.best_two(lengths, counts, room, above)
+        assert (sum(got) if got else None) == max(sums, default=None)
+        assert not got or all(counts[lengths.index(k)] >= got.count(k) for k in got)
+
+
+def test_word_ids_are_the_library_s(monkeypatch):
+    import pyarrow as pa
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from munjang.llm import wordbpe
+
+    lib = Tokenizer.from_file(path(packing.VOCABULARY))
+    lib.no_padding()
+    lib.no_truncation()
+    r = random.Random(5)
+    alphabet = [*"abcXYZ'stm ,.!?;:#&<|>-_0129éÉßÿÀ×÷ÖñÑªµ", "  ", "\n", "\x1c", "\x85", "\u00a0", "e\u0301", "Σ", "İ", "한", "😀", "'ll", "don't", "x" * 50, "é" * 30, "ing", "tion", "\x00"]
+    added = [f(t) for t in ("<|startoftext|>", "<|endoftext|>") for f in (str, str.upper, str.title, str.swapcase)]
+    texts = ["".join(r.choices(alphabet + added, k=r.randint(0, 16))) for _ in range(20_000)] + [None, "", "x" * 5000, "word " * 3000]
+    for kept, size in ((wordbpe.KEPT, wordbpe.SLICE), (100, 1 << 12)):
+        monkeypatch.setattr(wordbpe, "KEPT", kept)
+        monkeypatch.setattr(wordbpe, "SLICE", size)
+        coder = wordbpe.WordTokens(path(packing.VOCABULARY))
+        got = [ids[a:b].tolist() for ids, ends in coder.columns(pa.array(texts)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_quality(spark):
     r = random.Random(9)
     words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(300)]
