@@ -7,6 +7,7 @@ its documents are found by a few numpy passes, without Python strings.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_STEP = U64(0xD6E8FEB86659FD93)
+_STEP, _SECOND_STEP = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,6 +38,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CODE_LOWER = _CODE[_LOWER]
 _powers: list[np.ndarray] = []
+#: Bytes of the longest word that is hashed by a polynomial. Modulo 2**64 a regular text of a thousand letters can be made to collide; longer words have a digest.
+POLYNOMIAL = 64
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
@@ -101,6 +104,9 @@ class Words:
         for k in (0, *heads):
             ends = np.minimum(self.ends, self.starts + k) if k else self.ends
             out.append(mix((total[ends] - total[self.starts]) * down[self.starts] + (ends - self.starts).astype(U64) * _STEP))
+        for i in np.flatnonzero(self.ends - self.starts > POLYNOMIAL).tolist():
+            raw = self.data[self.starts[i] : self.ends[i]]
+            out[0][i] = int.from_bytes(hashlib.blake2b(_LOWER[raw] if lower else raw, digest_size=8).digest(), "little")
         return out if heads else out[0]
 
 
@@ -116,6 +122,15 @@ def grams(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out + U64(n))
 
 
+def second_grams(word_hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """32 more bits of hash of the runs of ``n`` words that start at ``at``, for where 64 are too few."""
+    out = np.zeros(len(at), U64)
+    for j in range(n):
+        out *= _SECOND_STEP
+        out += word_hashes[at + j]
+    return (mix(out) >> U64(32)).astype(np.uint32)
+
+
 def shingles(words: Words, hashes: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """For each document its sorted distinct word n-grams; of fewer than n words the whole sequence; of none nothing."""
     every = grams(hashes, n)

@@ -14,10 +14,12 @@ rolling run of B words probes it, and hits are extended to whole windows.
    only those of the task's smallest document go on, so a passage that a third
    of all documents share costs one entry for each task. Ranges of the hash
    space find the smallest document of each window over all tasks.
-3. Marked positions and texts meet by document and the words are dropped.
+3. Marked windows and texts meet by document. Hits that follow each other are
+   extended to maximal repeats, whose words are dropped.
 
 The bitmap only thins out work: where it fills up, more windows go to step 2,
-and results stay the same. Windows are compared by 64-bit hashes.
+and results stay the same. Windows are compared by 96 bits of hash across
+documents, and a document's own windows by 64.
 """
 
 from __future__ import annotations
@@ -31,22 +33,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from munjang.llm import shared
-from munjang.llm.kernels import U64, Words, grams, pack, pack_sorted, slices, string_buffers, unpack, unpack_sorted
+from munjang.llm.kernels import U64, Words, grams, pack, pack_sorted, second_grams, slices, string_buffers, unpack, unpack_sorted
 
 WINDOW = 13
 #: Bits of the anchor bitmap (16 MB), and words that a task works on at a time.
 FILTER_BITS, RUN_WORDS = 27, 4_000_000
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Words, np.ndarray]]:
-    """Runs of documents of bounded size: their ids, text tags, words and word hashes."""
+def _runs(column: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray]]:
+    """Runs of texts of bounded size: first and last row, words and word hashes."""
+    data, offsets = string_buffers(column)
+    for lo, hi in slices(offsets):
+        words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        yield lo, hi, words, words.hashes(False)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Words, np.ndarray]]:
+    """The ids, words and word hashes of runs of documents."""
     for batch in batches:
-        data, offsets = string_buffers(batch.column("text"))
         ids = batch.column("doc_id").to_numpy()
-        tags = batch.column("tag").to_numpy().astype(np.uint16)
-        for lo, hi in slices(offsets):
-            words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield ids[lo:hi], tags[lo:hi], words, words.hashes(False)
+        for lo, hi, words, hashes in _runs(batch.column("text")):
+            yield ids[lo:hi], words, hashes
 
 
 def _whole(words: Words, n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +86,7 @@ def anchors(texts: DataFrame, block: int, bits: int, ranges: int, filter_bits: i
             full = np.flatnonzero(np.diff(edges)).tolist()
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack_sorted(v[edges[i] : edges[i + 1]]) for i in full], pa.binary())], ["part", "blob"])
 
-        for _, _, words, hashes in _parts(batches):
+        for _, words, hashes in _parts(batches):
             h = grams(hashes, block)
             ok, _, place = _whole(words, block, len(h))
             aligned = (place % block == 0).astype(U64)
@@ -113,14 +120,30 @@ def anchors(texts: DataFrame, block: int, bits: int, ranges: int, filter_bits: i
     return bitmap.reshape(-1)
 
 
-def _marked(ids: np.ndarray, tags: np.ndarray, places: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
-    """Marked windows as one blob for each group of documents."""
+def _marked(ids: np.ndarray, w: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """Marked windows, as document and window hash, in one blob for each group of documents."""
     group = group_of(ids, groups)
     order = np.argsort(group, kind="stable")
     cuts = np.searchsorted(group[order], np.arange(groups + 1))
     for g in np.flatnonzero(np.diff(cuts)).tolist():
         rows = order[cuts[g] : cuts[g + 1]]
-        yield g, len(rows).to_bytes(8, "little") + pack(ids[rows]) + pack(tags[rows]) + pack(places[rows])
+        yield g, pack(ids[rows]) + pack(w[rows])
+
+
+def _unmark(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    half = len(blob) // 2
+    return unpack(blob[:half], np.int64), unpack(blob[half:], U64)
+
+
+def _firsts(w: np.ndarray, more: np.ndarray, doc_id: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows in order, each once for a document, and which of them a smaller document has too."""
+    order = np.lexsort((doc_id, more, w))
+    w, more, doc_id = w[order], more[order], doc_id[order]
+    first = np.append(True, (w[1:] != w[:-1]) | (more[1:] != more[:-1]))[: len(w)]
+    once = first | np.append(True, doc_id[1:] != doc_id[:-1])[: len(w)]
+    w, more, doc_id, first = w[once], more[once], doc_id[once], first[once]
+    later = doc_id > doc_id[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return w, more, doc_id, later
 
 
 def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
@@ -134,13 +157,9 @@ def _group(groups: int) -> Column:
     return F.pmod(F.coalesce(known, F.xxhash64("text")), F.lit(groups)).cast("int")
 
 
-def _unmark(blob: bytes, *more: type) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(blob[:8], "little"), 8, []
-    for dtype in (*more, np.int64, np.uint16, np.uint32):
-        width = n * np.dtype(dtype).itemsize
-        out.append(unpack(blob[at : at + width], dtype))
-        at += width
-    return out
+def _opened(blob: bytes) -> tuple[np.ndarray, ...]:
+    n = int.from_bytes(blob[:8], "little")
+    return unpack_sorted(blob[8 + 12 * n :]), unpack(blob[8 : 8 + 4 * n], np.uint32), unpack(blob[8 + 4 * n : 8 + 12 * n], np.int64)
 
 
 def windows(texts: DataFrame, window: int, block: int, bits: int, filter_bits: int, ranges: int, groups: int, bitmap: np.ndarray) -> DataFrame:
@@ -154,34 +173,30 @@ def windows(texts: DataFrame, window: int, block: int, bits: int, filter_bits: i
         size = 0
 
         def flush() -> pa.RecordBatch:
-            w, doc_id, tag, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            w, more, doc_id, later = _firsts(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            order = np.lexsort((doc_id, w))
-            w, doc_id, tag, place = w[order], doc_id[order], tag[order], place[order]
-            first = np.append(True, w[1:] != w[:-1])[: len(w)]
-            later = doc_id > doc_id[np.flatnonzero(first)][np.cumsum(first) - 1]
-            out = [(1, g, blob) for g, blob in _marked(doc_id[later], tag[later], place[later], groups)]
-            w, doc_id, tag, place = w[~later], doc_id[~later], tag[~later], place[~later]
+            out = [(1, g, blob) for g, blob in _marked(doc_id[later], w[later], groups)]
+            w, more, doc_id = w[~later], more[~later], doc_id[~later]
             edges = np.searchsorted(w, np.arange(ranges, dtype=U64) << U64(64 - top)) if top else np.array([0])
             edges = np.append(edges, len(w))
             for g in np.flatnonzero(np.diff(edges)).tolist():
                 a, b = edges[g], edges[g + 1]
-                out.append((0, g, int(b - a).to_bytes(8, "little") + pack(w[a:b]) + pack(doc_id[a:b]) + pack(tag[a:b]) + pack(place[a:b])))
+                out.append((0, g, int(b - a).to_bytes(8, "little") + pack(more[a:b]) + pack(doc_id[a:b]) + pack_sorted(w[a:b])))
             kind, part, blob = zip(*out, strict=True) if out else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["kind", "part", "blob"])
 
-        for ids, tags, words, hashes in _parts(batches):
+        for ids, words, hashes in _parts(batches):
             h = grams(hashes, block)
             ok, _, _ = _whole(words, block, len(h))
             at = (h >> U64(64 - filter_bits)).astype(np.int64)
             hit = ok & ((seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
             w = grams(hashes, window)
-            ok, doc, place = _whole(words, window, len(w))
+            ok, doc, _ = _whole(words, window, len(w))
             total = np.append(0, np.cumsum(hit))
             # A window has window - block + 1 rolling runs.
             reach = total[np.arange(len(w)) + window - block + 1] - total[np.arange(len(w))]
             keep = np.flatnonzero(ok & (reach > 0))
-            held.append((w[keep], ids[doc[keep]], tags[doc[keep]], place[keep].astype(np.uint32)))
+            held.append((w[keep], second_grams(hashes, keep, window), ids[doc[keep]]))
             size += len(keep)
             if size >= RUN_WORDS // 2:
                 yield flush()
@@ -206,14 +221,9 @@ def windows(texts: DataFrame, window: int, block: int, bits: int, filter_bits: i
             asked = table.filter(pa.array(kind == 0))["blob"]
             if not len(asked):
                 continue
-            w, doc_id, tag, place = (np.concatenate(x) for x in zip(*(_unmark(b.as_py(), U64) for b in asked), strict=True))
-            order = np.lexsort((doc_id, w))
-            w, doc_id = w[order], doc_id[order]
-            first = np.append(True, w[1:] != w[:-1])
-            later = doc_id > doc_id[np.flatnonzero(first)][np.cumsum(first) - 1]
-            rows = order[later]
-            found.append((doc_id[later], tag[rows], place[rows]))
-            size += len(rows)
+            w, _, doc_id, later = _firsts(*(np.concatenate(x) for x in zip(*(_opened(b.as_py()) for b in asked), strict=True)))
+            found.append((doc_id[later], w[later]))
+            size += int(later.sum())
             if size >= RUN_WORDS:
                 yield flush()
                 size = 0
@@ -235,17 +245,24 @@ def keep_mask(n_words: int, places: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step)[:n_words] == 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS, columns: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text, and ``columns`` of docs.
+def spans(keep: np.ndarray) -> list[dict[str, int]]:
+    """Maximal runs of words that go."""
+    edge = np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8))
+    first, last = np.flatnonzero(edge < 0).tolist(), np.flatnonzero(edge > 0).tolist()
+    return [{"start": a, "length": b - a} for a, b in zip(first, last, strict=True)]
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS, columns: tuple[str, ...] = (), with_repeats: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text, and ``columns`` of docs; ``with_repeats`` also repeats, the first word and length of each maximal repeat.
 
     Words are runs of other than ASCII white space, unchanged; kept words are
     joined by one space. Null, empty and short texts lose nothing. Windows are
     judged on the input. Rows without a doc_id neither lose words nor cause a
-    loss; repeated rows are alike, as no document is smaller than itself.
+    loss; repeated rows are alike, as no document is smaller than itself, and
+    different texts of one doc_id are parts of one document.
     """
     spark = docs.sparkSession
-    tag = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.xxhash64("text").bitwiseAND(65535)).cast("int")
-    texts = shared.texts(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), "text"))
+    texts = shared.texts(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     block = (window + 1) // 2
     bits = max(hash_bits(docs.count()), filter_bits)
     ranges = 1 << max(0, (4 * shared.partitions(spark) - 1).bit_length())
@@ -254,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, filter_bits: int = FIL
     bitmap = anchors(texts, block, bits, ranges, filter_bits)
     marked = windows(texts, window, block, bits, filter_bits, ranges, groups, bitmap)
     taken = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), F.coalesce("text", F.lit("")).alias("text"), *taken).withColumn("part", _group(groups))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *taken).withColumn("part", _group(groups))
     met = rows.withColumns({"kind": F.lit(1), "blob": F.lit(None).cast("binary")}).unionByName(marked.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     met = met.repartition(shared.partitions(spark), "part").sortWithinPartitions("part", "kind")
 
@@ -273,30 +290,37 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, filter_bits: int = FIL
                     blobs += [_unmark(x.as_py()) for x in run.column("blob")]
                     continue
                 if marks is None:
-                    ids, tags, places = (np.concatenate(x) for x in zip(*blobs, strict=True)) if blobs else (np.zeros(0, np.int64),) * 3
-                    order = np.argsort(ids, kind="stable")
-                    marks, blobs = (ids[order], tags[order], places[order].astype(np.int64)), []
+                    ids, w = (np.concatenate(x) for x in zip(*blobs, strict=True)) if blobs else (np.zeros(0, np.int64), np.zeros(0, U64))
+                    order = np.lexsort((w, ids))
+                    marks, blobs = (ids[order], w[order]), []
                 yield apply_marks(run, marks)
 
     def apply_marks(run: pa.RecordBatch, marks: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         ids = run.column("doc_id").to_pylist()
         known = np.array([x or 0 for x in ids], np.int64)
         lo, hi = np.searchsorted(marks[0], known), np.searchsorted(marks[0], known, side="right")
-        n_words, n_removed, kept = [], [], []
-        for i, (value, tag) in enumerate(zip(run.column("text"), run.column("tag").to_pylist(), strict=True)):
-            words = value.as_py().encode().split()
-            n_words.append(len(words))
-            if ids[i] is not None and lo[i] < hi[i]:
-                own = marks[2][lo[i] : hi[i]][marks[1][lo[i] : hi[i]] == tag]
-                words = list(compress(words, keep_mask(len(words), own, window).tolist()))
-            n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words).decode())
-        made = [run.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-        return pa.RecordBatch.from_arrays(made + [run.column(f"c{i}") for i in range(len(columns))], ["doc_id", "n_words", "n_removed", "kept_text", *(f"c{i}" for i in range(len(columns)))])
-
+        n_words, n_removed, kept, gone = [], [], [], []
+        for a, b, words, hashes in _runs(run.column("text")):
+            w = grams(hashes, window)
+            at = words.offsets.tolist()
+            for k, (i, first, n) in enumerate(zip(range(a, b), words.first[:-1].tolist(), words.counts.tolist(), strict=True)):
+                own = words.data[at[k] : at[k + 1]].tobytes().split()
+                keep = np.ones(n, bool)
+                if n >= window and ids[i] is not None and lo[i] < hi[i]:
+                    marked, mine = marks[1][lo[i] : hi[i]], w[first : first + n - window + 1]
+                    near = np.minimum(np.searchsorted(marked, mine), len(marked) - 1)
+                    keep = keep_mask(n, np.flatnonzero(marked[near] == mine), window)
+                n_words.append(n)
+                n_removed.append(n - int(keep.sum()))
+                kept.append(b" ".join(compress(own, keep.tolist()) if n_removed[-1] else own).decode())
+                gone.append(spans(keep) if with_repeats and n_removed[-1] else [])
+        made = [run.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(gone, repeat)]
+        return pa.RecordBatch.from_arrays(made + [run.column(f"c{i}") for i in range(len(columns))], ["doc_id", "n_words", "n_removed", "kept_text", "repeats", *(f"c{i}" for i in range(len(columns)))])
+
+    repeat = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     types = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    out = met.mapInArrow(cut, f"doc_id long, n_words long, n_removed long, kept_text string{types}")
-    return out.select("doc_id", "n_words", "n_removed", "kept_text", *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    out = met.mapInArrow(cut, f"doc_id long, n_words long, n_removed long, kept_text string, repeats array<struct<start:long,length:long>>{types}")
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", *["repeats"] * with_repeats, *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,6 +299,28 @@ def test_substring_removal(spark, window):
     assert substring.remove_repeats(docs(spark, *rows).limit(0)).count() == 0
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_regular_long_words_are_told_apart(spark):
+    """Words whose polynomials modulo 2**64 are equal, although no letter agrees in place."""
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    rows = [(i, " ".join(f"{w}{'x' * k}" for k in range(13))) for i, w in enumerate((one, two))]
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs(spark, *rows)).collect()}
+    assert got == {0: 0, 1: 1}
+    assert {r.near_next for r in fingerprints.fingerprint(docs(spark, *rows)).collect()} == {0.0}
+    assert {r.n_removed for r in substring.remove_repeats(docs(spark, *rows)).collect()} == {0}
+
+
+def test_rows_of_one_document_with_different_texts(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, passage), (2, "short"), (2, "a b " + passage + " c"), (2, " ".join(f"u{i}" for i in range(70))), (2, passage)] + [(2, f"w{i}") for i in range(300)]
+    got = substring.remove_repeats(docs(spark, *rows), with_repeats=True).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept_text) for x in got) == brute_repeats(rows, 13)
+    assert {(r.n_words, tuple(map(tuple, r.repeats))) for r in got if r.n_removed} == {(30, ((0, 30),)), (33, ((2, 30),))}
+
+
 def first_fit_decreasing(lengths, capacity):
     room = []
     for k in sorted(lengths, reverse=True):
