@@ -21,22 +21,28 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; only where the session names none (local tests) one of this process."""
+    """The shared folder. A local session that names none has one of this process; on a cluster that would be each machine's own, so there it is an error."""
     named = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if named:
         return named.rstrip("/")
+    if not (master := spark.sparkContext.master).startswith("local[") and master != "local":
+        raise ValueError(f"set {KEY} to a folder that all machines share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="munjang-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
 
 
+def path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{folder(spark)}/munjang/{name}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/munjang/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    to = path(df.sparkSession, name)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
 #: Rows of an Arrow batch of texts at most: ten thousand, Spark's default, may be a hundred megabytes on either side.

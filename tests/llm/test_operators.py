@@ -1,6 +1,7 @@
 """Operators of the training-data subpackage against brute force, on small tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -265,6 +266,23 @@ def test_top_k(spark):
     assert pivots.top_k(table.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Products over 2**53, over a long, and components that 1024 * x takes past a double, against Python's integers."""
+    r = np.random.default_rng(4)
+    rows = [(i, (10 ** r.uniform(0, 6) * r.normal(0, 1, 8)).tolist()) for i in range(250)]
+    rows += [(300 + i, [1e5 + i * 2**-10, -1e5, 1e5, 0.5] * 2) for i in range(12)]
+    rows += [(400, [1e30] * 4), (401, [1e30, -1e30, 1e9, 1.0]), (402, [-1e30] * 4), (500, [1e307, 1.0]), (501, [2.0, 3.0])] + [(503 + i, [1.0, 7.0 + i]) for i in range(3)]
+    exact = lambda x: [math.floor(c) * 1024 if abs(c) > 2**53 else math.floor(1024 * c) for c in x]
+    want = []
+    for q, v in rows:
+        if q % 100 == 0:
+            scored = [(min(max(sum(a * b for a, b in zip(exact(v), exact(w), strict=True)), -(2**63)), 2**63 - 1), c) for c, w in rows if c != q and len(w) == len(v)]
+            want += [(q, k + 1, c, s) for k, (s, c) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:10])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, pivots.top_k(table).collect())) == sorted(want)
+    assert sorted(map(tuple, pivots.top_k(table, query_block=1).collect())) == sorted(want)
+
+
 def brute_repeats(rows, window):
     first = {}
     for d, t in rows:
