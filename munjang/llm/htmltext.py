@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,13 +27,11 @@ from pyspark.sql import functions as F
 from munjang.llm import shared
 from munjang.llm.kernels import U64, Words, slices, string_buffers
 
-PATH_SLOTS, WORD_SLOTS, HIDDEN, PAGES, EPOCHS, SEED = 512, 64, 24, 1000, 11, 7
-#: Ancestors of a block that its path names, innermost last.
-DEPTH = 8
-_PIECE = re.compile(
-    r"<!--(?:.*?-->|.*)|<(?P<raw>script|style|title|noscript|template|textarea|iframe|svg)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+PATH_SLOTS, WORD_SLOTS, HIDDEN, PAGES, EPOCHS, SEED = 512, 64, 24, 1400, 12, 7
+#: Elements that are passed over up to their end tag.
+_RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style title noscript template textarea iframe svg".split()}
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_ENDS = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LETTERS = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,11 +42,38 @@ _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"t
 _SCOPES = {"ul", "ol", "table", "dl", "select", "body", "article", "section", "div"}
 
 
+class Node:
+    """An open element: its names, the hash slots of the words of it and all its ancestors, and whether its text is dropped."""
+
+    __slots__ = ("parent", "tag", "token", "slots", "dropped", "stop")
+
+    def __init__(self, parent: Node | None, tag: str, token: str, stop: int):
+        self.parent, self.tag, self.token, self.stop = parent, tag, token, stop
+        self.slots = under(parent.slots, token) if parent else frozenset()
+        self.dropped = parent is not None and (parent.dropped or tag in _DROPPED)
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """A leaf block: its element, its text, and how many characters of that are linked."""
+
+    __slots__ = ("node", "text", "linked")
+
+    def __init__(self, node: Node, text: str, linked: int):
+        self.node, self.text, self.linked = node, text, linked
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    @property
+    def path(self) -> tuple[str, ...]:
+        """All ancestors, innermost last."""
+        out, node = [], self.node
+        while node.parent:
+            out.append(node.token)
+            node = node.parent
+        return tuple(reversed(out))
+
+    @property
+    def slots(self) -> frozenset[int]:
+        """Slots of the path: its words anywhere, and those of the innermost element once more by themselves."""
+        return self.node.slots | own_slots(self.node.token)[1]
 
 
 def _tokens(tag: str, rest: str) -> str:
@@ -57,40 +83,105 @@ def _tokens(tag: str, rest: str) -> str:
     return f"{tag} {names}" if names else tag
 
 
+def _slot(word: str) -> int:
+    out = 17
+    for c in word.encode():
+        out = (out * 257 + c) % 2_147_483_647
+    return out % PATH_SLOTS
+
+
+@lru_cache(maxsize=20_000)
+def own_slots(token: str) -> tuple[frozenset[int], frozenset[int]]:
+    """Slots of an element's words, and of the same words as those of an innermost element."""
+    words = _LETTERS.findall(token)
+    return frozenset(map(_slot, words)), frozenset(_slot(f"^{x}") for x in words)
+
+
+@lru_cache(maxsize=5_000)
+def under(slots: frozenset[int], token: str) -> frozenset[int]:
+    more = own_slots(token)[0]
+    return slots if more <= slots else slots | more
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag in lower case, whether it is an end tag, its attributes); comments and raw elements are passed over and have the tag "".
+
+    Every character is looked at a bounded number of times. A quoted ``>`` ends
+    no tag; from the first tag on whose quotes do not close before the page
+    ends, quotes mean nothing. Where no ``>`` follows, the rest is text.
+    """
+    at, look, quotes = 0, 0, True
+    last = page.rfind(">")
+    while (i := page.find("<", look)) >= 0:
+        if i > last:
+            break
+        look = i + 1
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            end = len(page) if end < 0 else end + 3
+            yield page[at:i], "", False, ""
+        elif page[i + 1] in "!?":
+            end = page.find(">", i) + 1
+            yield page[at:i], "", False, ""
+        elif name := _NAME.match(page, i + 1):
+            tag, closing = name[1].lower(), page[i + 1] == "/"
+            end = j = name.end()
+            while quotes:
+                found = _ENDS.search(page, j)
+                if found and found[0] == ">":
+                    end = found.start()
+                    break
+                j = page.find(found[0], found.end()) + 1 if found else 0
+                quotes = j > 0
+            if not quotes:
+                end = page.find(">", name.end())
+            rest, end = page[name.end() : end], end + 1
+            if tag in _RAW and not closing:
+                if not (tag == "svg" and rest.endswith("/")):
+                    close = _RAW[tag].search(page, end)
+                    end = close.end() if close else len(page)
+                yield page[at:i], "", False, ""
+            else:
+                yield page[at:i], tag, closing, rest
+        else:
+            continue
+        at = look = end
+    yield page[at:], "", False, ""
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, their text decoded and white space as single spaces."""
+    """The leaf blocks of a page in order, their text decoded and white space as single spaces. The work is linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = [("", (), False)]
+    stack = [Node(None, "", "", 0)]
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    linked = in_link = at = 0
+    linked = in_link = 0
 
     def flush() -> None:
         nonlocal linked
         if held:
-            if not stack[-1][2]:
+            if not stack[-1].dropped:
                 text = " ".join(html.unescape("".join(held)).split())
                 if text:
-                    out.append(Block(stack[-1][1], text, min(linked, len(text))))
+                    out.append(Block(stack[-1], text, min(linked, len(text))))
             held.clear()
         linked = 0
 
-    def say(text: str) -> None:
-        nonlocal linked
+    def close(n: int) -> None:
+        for node in stack[n:]:
+            opened[node.tag] -= 1
+        del stack[n:]
+
+    for text, tag, ending, rest in pieces(page):
         if text:
             held.append(text)
             if in_link:
                 linked += len(text)
-
-    for m in _PIECE.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
         if not tag:
             continue
-        tag = tag.lower()
         if tag in _INLINE:
             if tag == "a":
-                in_link = not m["end"]
+                in_link = not ending
             continue
         if tag in _VOID:
             if tag in ("br", "wbr"):
@@ -100,52 +191,48 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         in_link = 0
-        if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if ending:
+            if opened[tag]:
+                n = len(stack) - 1
+                while stack[n].tag != tag:
+                    n -= 1
+                close(n)
             continue
-        if stack[-1][0] == "p":
-            stack.pop()
+        if stack[-1].tag == "p":
+            close(len(stack) - 1)
         if tag == "body":
-            stack[1:] = [x for x in stack[1:] if x[0] == "html"]
+            whole = [x for x in stack[1:] if x.tag == "html"]
+            close(1)
+            for x in whole:
+                stack.append(Node(stack[-1], x.tag, x.token, 0))
+                opened[x.tag] += 1
         elif tag in _CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in _CLOSES[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPES:
+            n = stack[-1].stop
+            while n > 0 and stack[n].tag not in _SCOPES:
+                if stack[n].tag in _CLOSES[tag]:
+                    close(n)
                     break
-        stack.append((tag, (*stack[-1][1][-DEPTH + 1 :], _tokens(tag, m["rest"])), stack[-1][2] or tag in _DROPPED))
-    say(page[at:])
+                n = stack[n - 1].stop
+        stop = len(stack) if tag in _CLOSES or tag in _SCOPES else stack[-1].stop
+        stack.append(Node(stack[-1], tag, _tokens(tag, rest), stop))
+        opened[tag] += 1
     flush()
     return out
 
 
-def _slot(word: str) -> int:
-    out = 17
-    for c in word.encode():
-        out = (out * 257 + c) % 2_147_483_647
-    return out % PATH_SLOTS
-
-
-@lru_cache(maxsize=100_000)
-def path_slots(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Hash slots of a path: its words anywhere, and those of the innermost element once more by themselves."""
-    words = {x for element in path for x in _LETTERS.findall(element)}
-    own = {f"^{x}" for x in _LETTERS.findall(path[-1])} if path else set()
-    return tuple(sorted({_slot(x) for x in words | own}))
-
-
 def features(page_blocks: list[list[Block]]) -> tuple[np.ndarray, np.ndarray]:
     """(paths, values) of the blocks of some pages, one after another: path slots as 0/1, word slots and lengths."""
     flat = [b for page in page_blocks for b in page]
-    if not flat:
-        return np.zeros((0, PATH_SLOTS), np.float32), np.zeros((0, WORD_SLOTS + 6), np.float32)
     paths = np.zeros((len(flat), PATH_SLOTS), np.float32)
     for i, b in enumerate(flat):
-        paths[i, list(path_slots(b.path))] = 1
+        paths[i, list(b.slots)] = 1
+    return paths, features_of_text(page_blocks)
+
+
+def features_of_text(page_blocks: list[list[Block]]) -> np.ndarray:
+    flat = [b for page in page_blocks for b in page]
+    if not flat:
+        return np.zeros((0, WORD_SLOTS + 6), np.float32)
     values = np.zeros((len(flat), WORD_SLOTS + 6), np.float32)
     data, offsets = string_buffers(pa.array([b.text for b in flat], pa.large_string()))
     for lo, hi in slices(offsets):
@@ -162,7 +249,7 @@ def features(page_blocks: list[list[Block]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = [len(p) for p in page_blocks]
     values[:, WORD_SLOTS + 4] = np.concatenate([np.arange(n) / max(1, n - 1) for n in lengths])
     values[:, WORD_SLOTS + 5] = 1
-    return paths, values
+    return values
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -238,7 +325,8 @@ class Labeller:
     def train(self, pages: list[tuple[list[Block], list[int]]], epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
         r = random.Random(seed)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        t, ready = 0, [np.concatenate(features([p[0]]), 1) for p in pages]
+        t, seen, mean = 0, 0, {k: np.zeros_like(v) for k, v in self.p.items()}
+        ready = [np.concatenate(features([p[0]]), 1) for p in pages]
         for epoch in range(epochs):
             order = sorted(range(len(pages)), key=lambda i: (len(pages[i][0]) // 8, r.random()))
             batches = [order[i : i + 16] for i in range(0, len(order), 16)]
@@ -259,6 +347,10 @@ class Labeller:
                     v = 0.99 * moments[k][1] + 0.01 * g * g
                     moments[k] = (m, v)
                     self.p[k] = (self.p[k] - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                if epoch >= epochs - 4:  # the mean of the last epochs' weights is steadier than any of them
+                    seen += 1
+                    mean = {k: mean[k] + (self.p[k] - mean[k]) / seen for k in mean}
+        self.p = mean if seen else self.p
         return self
 
     def label(self, page_blocks: list[list[Block]]) -> list[np.ndarray]:
@@ -271,17 +363,15 @@ class Labeller:
             while b < len(order) and b - a < 256 and (b - a + 1) * len(page_blocks[order[b]]) <= 16_384:
                 b += 1
             group = [page_blocks[i] for i in order[a:b]]
-            distinct: dict[tuple[str, ...], int] = {}
-            which = np.array([distinct.setdefault(x.path, len(distinct)) for page in group for x in page])
-            paths = np.zeros((len(distinct), PATH_SLOTS), np.float32)
-            for path, k in distinct.items():
-                paths[k, list(path_slots(path))] = 1
+            distinct: dict[frozenset[int], int] = {}
+            which = np.array([distinct.setdefault(x.slots, len(distinct)) for page in group for x in page])
             values = features_of_text(group)
             lengths = np.array([len(p) for p in group])
             mask = np.arange(lengths.max())[:, None] < lengths
             gates = {}
             for d in "fb":
-                flat = (paths @ self.p["x" + d][:PATH_SLOTS])[which] + values @ self.p["x" + d][PATH_SLOTS:]
+                of_path = np.stack([self.p["x" + d][sorted(x)].sum(0) for x in distinct])
+                flat = of_path[which] + values @ self.p["x" + d][PATH_SLOTS:]
                 z = np.zeros((len(lengths), lengths.max(), 4 * HIDDEN), np.float32)
                 z[mask.T] = flat
                 gates[d] = z.transpose(1, 0, 2)
@@ -292,15 +382,11 @@ class Labeller:
         return out
 
 
-def features_of_text(group: list[list[Block]]) -> np.ndarray:
-    return features([[Block((), x.text, x.linked) for x in page] for page in group])[1]
-
-
 # Pages to train on. Each element below is (path pieces, what it holds): lists of names that sites give such parts.
 _MENU = ["nav", 'ul class="menu"', 'div class="navbar"', 'div id="navigation"', 'div class="breadcrumbs"', 'ul class="nav links"', 'div class="topbar menu"', 'div role="navigation"', 'div class="pagination"', 'div class="tags"', 'div class="toc"']
 _HEAD = ["header", 'div class="header"', 'div id="masthead"', 'div class="site-header banner"', 'div class="logo brand"', 'div role="banner"']
 _FOOT = ["footer", 'div class="footer"', 'div id="site-footer"', 'div class="copyright legal"', 'div class="colophon"', 'div role="contentinfo"']
-_SIDE = ["aside", 'div class="sidebar"', 'div id="secondary"', 'div class="widget related"', 'section class="related-posts"', 'div class="recommended popular"', 'div class="trending more"', 'div role="complementary"', 'div class="author-bio"', 'div class="share social"', 'div class="rail"']
+_SIDE = ["aside", "aside", "aside", 'div class="sidebar"', 'div id="secondary"', 'div class="widget related"', 'section class="related-posts"', 'div class="recommended popular"', 'div class="trending more"', 'div role="complementary"', 'div class="author-bio"', 'div class="share social"', 'div class="rail"']
 _NOTE = ['div class="cookie-notice"', 'div class="consent banner"', 'div class="alert notice"', 'div id="gdpr"', 'div class="newsletter subscribe signup"', 'div class="popup modal overlay"', 'div class="paywall"', 'div class="notification message"', 'div class="disclaimer"', 'div class="notice"', 'div class="cookies"']
 _AD = ['div class="ad"', 'div class="ads advert"', 'div id="advertisement"', 'div class="sponsored promo"', 'div class="ad-slot banner"', 'aside class="promotion"', 'ins class="adsbygoogle"', 'div class="sponsor"']
 _FORM = ["form", 'form class="search"', 'form id="login"', 'div class="search-form"', 'form class="contact"']
@@ -321,6 +407,7 @@ _SAID = {
 def compose(seed: int) -> tuple[list[Block], list[int]]:
     """A page of a random layout, cut into blocks, and which of these are main text. Text of the article carries a mark that is taken off again."""
     r = random.Random(seed)
+    deep = random.Random(-1 - seed)  # a stream of its own: now and then plain elements lie between a telling one and its blocks
     syllables = [a + b for a in "b d f g k l m n p r s t v th sh ç ñ ß".split() for b in "a e i o u é ü ai on er en".split()]
     common = ["".join(r.choices(syllables, k=r.randint(1, 2))) for _ in range(30)]
     word = lambda: r.choice(common) if r.random() < 0.5 else "".join(r.choices(syllables, k=r.randint(1, 4)))
@@ -329,6 +416,8 @@ def compose(seed: int) -> tuple[list[Block], list[int]]:
         s = " ".join(word() + ("," if r.random() < 0.1 else "") for _ in range(n))
         return s.capitalize() + r.choice([".", ".", ".", "!", "?"])
 
+    noise = deep.choice([" | ", "!! ", "### ", " $$$ ", " / "]) if deep.random() < 0.2 else ""  # signs between all words of a page tell nothing
+
     def paragraph() -> str:
         kind = r.random()
         n = 1 if kind < 0.3 else r.randint(2, 8) if kind < 0.9 else r.randint(10, 40)
@@ -337,6 +426,8 @@ def compose(seed: int) -> tuple[list[Block], list[int]]:
             text = text.upper()
         if r.random() < 0.1:
             text = r.choice([" | ", "!! ", "### "]).join(text.split())
+        if noise and deep.random() < 0.8:
+            text = noise.join(text.split())
         if r.random() < 0.1:
             text = r.choice(["Licensed under", "Contact", "Copyright", "Call +1 (555) 010 2000"]) + " " + text
         if r.random() < 0.2:
@@ -364,6 +455,9 @@ def compose(seed: int) -> tuple[list[Block], list[int]]:
         if tag == "nav" or tag.startswith("ul"):
             body = f"<ul>{body}</ul>" if tag == "nav" and r.random() < 0.7 else body
         end = f"</{tag.split()[0]}>" if r.random() < 0.97 else ""
+        if end and deep.random() < 0.2:
+            n = deep.randint(5, 25)
+            body = "<div>" * n + body + "</div>" * n
         return f"<{tag}>{body}{end}"
 
     mark = "\x01"
@@ -388,6 +482,9 @@ def compose(seed: int) -> tuple[list[Block], list[int]]:
     tag = r.choice(_BODY) if r.random() < 0.6 else "article"
     if r.random() < 0.15:
         inner.append(part(_TALK, "talk"))
+    if deep.random() < 0.15:
+        n = deep.randint(5, 25)
+        inner = ["<div>" * n, *inner, "</div>" * n]
     article = f"<{tag}>{''.join(inner)}</{tag.split()[0]}>"
     before = [part(k, v) for k, v, p in ((_HEAD, "side", 0.4), (_MENU, "menu", 0.8), (_NOTE, "note", 0.35), (_AD, "ad", 0.5), (_SIDE, "side", 0.25), (_FORM, "form", 0.25)) if r.random() < p]
     after = [part(k, v) for k, v, p in ((_AD, "ad", 0.25), (_TALK, "talk", 0.45), (_SIDE, "side", 0.4), (_FORM, "form", 0.25), (_NOTE, "note", 0.25), (_MENU, "menu", 0.2), (_FOOT, "foot", 0.85)) if r.random() < p]

@@ -469,6 +469,31 @@ def test_blocks():
         htmltext.blocks(odd)
 
 
+@pytest.mark.parametrize("page", ["<svg " * 200_000, '<a "' * 250_000, '<a ">"' * 170_000, "</div>" * 170_000, "<div>" * 200_000 + "x", "<li><div>" + "<center>" * 50_000 + "<li></li>" * 10_000, "<a \"'>" * 150_000, "<a '\"><b \"'>" * 90_000, "<!--" * 250_000, "<title>" * 100_000, "<p class=\"x" * 100_000], ids=range(11))
+def test_hostile_pages_take_linear_time(page):
+    from time import process_time
+
+    began = process_time()
+    htmltext.blocks(page)
+    assert process_time() - began < 10  # quadratic work takes hours
+
+
+def test_odd_tags():
+    said = lambda page: [b.text for b in htmltext.blocks(page)]
+    assert said("<p>a<svg/>b<svg viewBox='0'><text>c</text></svg>d") == ["abd"]
+    assert said("<p title='1 > 0'>a</p>x < y<p>1<2") == ["a", "x < y", "1<2"]
+    assert said('<p>one<p title="two>three<p>four') == ["one", "three", "four"]
+    assert said("a<p") == ["a<p"] and said("<") == ["<"] and said("a</ b>c<>d") == ["a</ b>c<>d"]
+
+
+def test_paths_name_all_ancestors(labeller):
+    deep, end = "<div>" * 20, "</div>" * 20
+    text = "".join("<p>The quick river runs along the old town and people walk there every day.</p>" for _ in range(4))
+    found = htmltext.blocks(f"<body><article>{deep}{text}{end}</article><aside>{deep}{text}{end}</aside></body>")
+    assert [x.path[1] for x in found] == ["article"] * 4 + ["aside"] * 4 and len({x.slots for x in found}) == 2
+    assert ((labeller.label([found])[0] >= 0.5) == ([True] * 4 + [False] * 4)).all()
+
+
 def test_labeller_on_held_out_pages(labeller):
     pages = [x for x in map(htmltext.compose, range(90_000, 90_200)) if x[0]]
     p = np.concatenate(labeller.label([x[0] for x in pages]))
