@@ -7,6 +7,8 @@ are longer than the documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -183,15 +185,44 @@ def registry_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, pattern_id string, category string, category_name string, name string, severity int, weight double, risk string, min_count int, cap double, context string, expression string, hint string")
 
 
-def hits(docs: DataFrame, ids: tuple[str, ...] | None = None, apply_min_count: bool = True) -> DataFrame:
-    """doc_id, pattern_id, category, name, severity, weight, start, end, text, hint, ord of every match that counts. Expressions run again only for the patterns a document is known to hold."""
+def _plain(docs: DataFrame) -> DataFrame:
+    """The text that is measured, and a number of the row: ids may be null or occur more than once."""
     text = without_marks(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")))
-    counted = docs.select("doc_id", text.alias("text")).withColumn("counts", pattern_counts(F.col("text"), ids, apply_min_count))
-    present = counted.select("doc_id", "text", F.posexplode("counts").alias("ord", "n")).where("n > 0").drop("n")
-    met = present.join(F.broadcast(registry_table(docs.sparkSession)), "ord")
-    found = met.withColumn("span", F.explode(spans(pieces(F.col("text"), F.col("expression")))))
-    final = ~F.col("context").endswith("final") | (F.col("span.start") / F.greatest(F.length("text"), F.lit(1)) >= _FINAL)
-    return found.where(final).select("doc_id", "pattern_id", "category", "name", "severity", "weight", "span.start", "span.end", F.trim(F.col("span.text")).alias("text"), "hint", "ord")
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
+
+
+def _numbered(i: int) -> Callable[[Column], Column]:
+    return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(i).alias("ord"), F.trim(x["text"]).alias("text"))
+
+
+def found_hits(text: Column, ids: tuple[str, ...] | None = None, apply_min_count: bool = True) -> Column:
+    """array<struct<start, end, ord, text>> of the matches that count, by place. Each expression is a constant, so it is compiled once, and runs only on texts that hold one of its strings."""
+    each = []
+    for i, p in enumerate(R.PATTERNS):
+        if ids is not None and p.id not in ids:
+            continue
+        found = spans(pieces(text, p.java))
+        if p.context.endswith("final"):
+            found = F.filter(found, lambda x: x["start"] / F.greatest(F.length(text), F.lit(1)) >= _FINAL)
+        own = F.transform(found, _numbered(i))
+        if apply_min_count and p.min_count > 1:
+            own = F.when(F.size(own) >= p.min_count, own)
+        each.append(F.when(holds_any(text, p.literals), own))
+    kind = "array<struct<start:int,end:int,ord:int,text:string>>"
+    return F.array_sort(F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull())).cast(kind)) if each else F.array().cast(kind)
+
+
+def _named(hit: Column) -> Column:
+    """A hit with what the registry says of its pattern."""
+    known = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in (("pattern_id", p.id), ("category", p.category), ("name", p.name), ("severity", p.severity), ("weight", p.weight), ("hint", p.hint))]) for p in R.PATTERNS])
+    own = known[hit["ord"]]
+    return F.struct(*[own[k].alias(k) for k in ("pattern_id", "category", "name", "severity", "weight")], hit["start"].alias("start"), hit["end"].alias("end"), hit["text"].alias("text"), own["hint"].alias("hint"), hit["ord"].alias("ord"))
+
+
+def hits(docs: DataFrame, ids: tuple[str, ...] | None = None, apply_min_count: bool = True) -> DataFrame:
+    """doc_id, pattern_id, category, name, severity, weight, start, end, text, hint, ord of every match that counts; those of a row by start and end. One pass over the texts, which do not travel with the hits."""
+    found = _plain(docs).select("doc_id", F.explode(found_hits(F.col("text"), ids, apply_min_count)).alias("hit"))
+    return found.select("doc_id", _named(F.col("hit")).alias("hit")).select("doc_id", "hit.*")
 
 
 def sentence_spans(text: Column | str, sents: Column | str) -> Column:
@@ -208,19 +239,29 @@ def sentence_spans(text: Column | str, sents: Column | str) -> Column:
     return F.aggregate(sents, begin, step)["found"]
 
 
-def sentence_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, idx, start, end, text, score, hit_ids, hit_names of every sentence: the weight of the hits that begin in it, for its length.
+def _in_order(docs: DataFrame, ids: tuple[str, ...] | None = None, apply_min_count: bool = True) -> DataFrame:
+    """Sentences (hit 0) and hits (hit 1) of each row in one order of places, each hit with the last sentence before it (``s``): no pairs are formed. Rows are told apart by their number, so null and repeated ids stay as they are."""
+    both = _plain(docs).select("row", "doc_id", sentence_spans("text", sentences("text")).alias("s"), found_hits(F.col("text"), ids, apply_min_count).alias("h"))
+    kind = "struct<start:int,hit:int,idx:int,end:int,ord:int,text:string>"
+    places = F.transform("s", lambda x, i: F.struct(x["start"].alias("start"), F.lit(0).alias("hit"), i.alias("idx"), x["end"].alias("end"), F.lit(None).cast("int").alias("ord"), x["text"].alias("text")).cast(kind))
+    found = F.transform("h", lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("hit"), F.lit(None).cast("int").alias("idx"), x["end"].alias("end"), x["ord"].alias("ord"), F.lit(None).cast("string").alias("text")).cast(kind))
+    order = both.select("row", "doc_id", F.explode(F.concat(places, found)).alias("x")).select("row", "doc_id", "x.*")
+    before = Window.partitionBy("row").orderBy("start", "hit").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("hit") == 0, F.struct("idx", "end")), ignorenulls=True).over(before)
+    return order.withColumn("s", last).where("s IS NOT NULL AND (hit = 0 OR start < s.end)")
 
-    Sentences and hits of a document are put in one order of places, and each
-    hit takes the last sentence before it: no pairs of sentences and hits.
-    """
-    text = without_marks(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")))
-    plain = docs.select("doc_id", text.alias("text"))
-    places = plain.select("doc_id", F.posexplode(sentence_spans("text", sentences("text"))).alias("idx", "s")).select("doc_id", "idx", "s.*")
-    found = hits(docs).select("doc_id", "start", F.struct("start", "end", "ord", "pattern_id", "name", (F.col("weight") * (0.6 + 0.2 * F.col("severity"))).alias("w")).alias("hit"))
-    before = Window.partitionBy("doc_id").orderBy("start", F.col("hit").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    order = places.select("doc_id", "start", F.struct("idx", "start", "end", "text").alias("s"), F.lit(None).cast(found.schema["hit"].dataType).alias("hit")).unionByName(found, allowMissingColumns=True)
-    held = order.withColumn("s", F.last("s", ignorenulls=True).over(before)).where("s IS NOT NULL AND (hit IS NULL OR hit.start < s.end)")
-    rows = held.groupBy("doc_id", "s.idx").agg(F.first("s").alias("s"), F.array_sort(F.collect_list("hit")).alias("own")).select("doc_id", "idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"), "own")
+
+def sentence_hits(docs: DataFrame, ids: tuple[str, ...] | None = None, apply_min_count: bool = True) -> DataFrame:
+    """doc_id, idx, ord, start, end: each hit with the sentence that it begins in."""
+    return _in_order(docs, ids, apply_min_count).where("hit = 1").select("doc_id", F.col("s.idx").alias("idx"), "ord", "start", "end")
+
+
+def sentence_scores(docs: DataFrame) -> DataFrame:
+    """doc_id, idx, start, end, text, score, hit_ids, hit_names of every sentence: the weight of the hits that begin in it, for its length."""
+    held = _in_order(docs)
+    of = lambda c: F.max(F.when(F.col("hit") == 0, F.col(c)))
+    rows = held.groupBy("row", F.col("s.idx").alias("idx")).agg(F.first("doc_id").alias("doc_id"), *[of(c).alias(c) for c in ("start", "end", "text")], F.array_sort(F.collect_list(F.when(F.col("hit") == 1, F.struct("start", "end", "ord")))).alias("own"))
+    known = F.array(*[F.struct(F.lit(p.id).alias("id"), F.lit(p.name).alias("name"), F.lit(p.weight * (0.6 + 0.2 * p.severity)).alias("w")) for p in R.PATTERNS])
+    rows = rows.withColumn("own", F.transform("own", lambda h: known[h["ord"]]))
     load = F.aggregate("own", F.lit(0.0), lambda a, h: a + h["w"]) / F.greatest(F.length("text"), F.lit(1)) * 100
-    return rows.select("doc_id", "idx", "start", "end", "text", F.round(M.clip(100 * (1 - F.exp(-load / 5)), 0.0, 100.0), 1).alias("score"), F.col("own.pattern_id").alias("hit_ids"), F.col("own.name").alias("hit_names"))
+    return rows.select("doc_id", "idx", "start", "end", "text", F.round(M.clip(100 * (1 - F.exp(-load / 5)), 0.0, 100.0), 1).alias("score"), F.col("own.id").alias("hit_ids"), F.col("own.name").alias("hit_names"))

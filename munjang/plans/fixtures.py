@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from munjang.plans.cases import ROWS
+
 WORDS = ["사람", "요소", "학생", "의자", "서울", "물", "책", "나라", "A", "x1", "제3", "42", "10", "", "가격", "길"]
 
 #: (case, level, input, expected)
@@ -77,6 +79,11 @@ def texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEXTS, "doc_id long, text string, genre string")
 
 
+def cases(spark: SparkSession) -> DataFrame:
+    """The texts of ``cases`` with ids below those of documents and of the inline texts."""
+    return spark.createDataFrame([(k - 1000, t, "essay") for k, _, t, _ in ROWS], "doc_id long, text string, genre string")
+
+
 def rewrites(spark: SparkSession, level: str) -> DataFrame:
     return spark.createDataFrame([(c, t, "essay") for c, lv, t, _ in REWRITES if lv == level], "doc_id string, text string, genre string")
 

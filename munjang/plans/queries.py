@@ -15,6 +15,7 @@ from munjang.functions import registry as R
 from munjang.functions import text as T
 from munjang.operators import calibrate, corpus, detect, evaluate, history, prompt, report, rewrite
 from munjang.plans import fixtures as X
+from munjang.plans.cases import ROWS
 from munjang.sources import documents as S
 from munjang.sources.tables import over_all_cores, read_table
 
@@ -42,8 +43,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and the inline texts, whose ids are put below those of documents."""
-    return documents(spark, folder).select("doc_id", "text", "genre").unionByName(X.texts(spark).withColumn("doc_id", F.col("doc_id") - 100))
+    """Documents, the inline texts and the cases of every pattern, whose ids are put below those of documents."""
+    return documents(spark, folder).select("doc_id", "text", "genre").unionByName(korean(spark))
+
+
+def korean(spark: SparkSession) -> DataFrame:
+    return X.texts(spark).withColumn("doc_id", F.col("doc_id") - 100).unionByName(X.cases(spark))
 
 
 # SQL fragments. No query text has white space beyond ASCII, so RE2's \s agrees.
@@ -88,6 +93,10 @@ DOCS_SQL = f"SELECT doc_id, coalesce(text, '') AS text, {GENRE_SQL} AS genre FRO
 TEXTS_SQL = f"SELECT doc_id::BIGINT AS doc_id, text, genre FROM {X.values(X.TEXTS, 't', 'doc_id, text, genre')}"
 
 
+KOREAN_SQL = f"SELECT doc_id - 100 AS doc_id, text, genre FROM ({TEXTS_SQL}) UNION ALL SELECT doc_id::BIGINT, text, 'essay' FROM {X.values([(k - 1000, t) for k, _, t, _ in ROWS], 't', 'doc_id, text')}"
+ALL_SQL = f"{DOCS_SQL} UNION ALL {KOREAN_SQL}"
+
+
 def split_sql(source: str) -> str:
     return f"SELECT *, {sents('text')} AS s FROM ({source})"
 
@@ -111,6 +120,33 @@ def re2(expression: str) -> str:
     return out
 
 
+def guarded(p: R.Pattern) -> tuple[str, str, str, str]:
+    """(flags, what stands before a match, the match, what stands after it) for RE2; what lookaround sees is consumed and put back."""
+    rx, before, after, flags = p.expression.replace(r"(?![가-힣])[,\s]*", r"(?:[,\s]+|$)"), "", "", ""
+    if rx.startswith("(?m)"):
+        flags, rx = rx[:4], rx[4:]
+    for look, guard in ((r"(?<![가-힣])", "^|[^가-힣]"), (r"(?<=[가-힣])", "[가-힣]"), (r"(?<![0-9])", "^|[^0-9]"), (r"(?:^|(?<=[.!?]\s))", r"^|[.!?]\s")):
+        if rx.startswith(look):
+            rx, before = rx.removeprefix(look), guard
+    for look, guard in ((r"(?![가-힣])", "$|[^가-힣]"), (r"(?=[가-힣])", "[가-힣]")):
+        if rx.endswith(look):
+            rx, after = rx.removesuffix(look), guard
+    if p.context.startswith("start"):
+        before = r"(?:^|[.!?\n])[ \t]*"
+    return flags, before, re2(rx), after
+
+
+def pieces_sql(p: R.Pattern) -> str:
+    """The text cut before each match; a match ends at chr(2)."""
+    flags, before, rx, after = guarded(p)
+    groups = re.compile(p.expression).groups
+    return rf"string_split(regexp_replace(text, {X.quoted(f'{flags}({before})({rx})({after})')}, '\1' || chr(1) || '\2' || chr(2) || '\{3 + groups}', 'g'), chr(1))"
+
+
+def starts_sql(pieces: str, k: str = "k") -> str:
+    return f"list_sum(list_transform({pieces}[1:{k}], lambda x: length(replace(x, chr(2), ''))))"
+
+
 def count_sql(p: R.Pattern) -> str:
     rx = re2(p.expression)
     if p.context.startswith("start"):
@@ -118,10 +154,36 @@ def count_sql(p: R.Pattern) -> str:
         rx = rf"(?:^|[.!?\n])[ \t]*(?:{rx})"
     n = n_matches("text", rx)
     if p.context.endswith("final"):
-        n = "0"
+        ps = pieces_sql(p)
+        n = f"len(list_filter(range(1, len({ps})), lambda k: {starts_sql(ps)} / length(text) >= 0.7))"
     return f"CASE WHEN {n} >= {p.min_count} THEN {n} ELSE 0 END"
 
 
+def hits_sql(source: str) -> str:
+    """CTEs ``src`` and ``hits`` (doc_id, pattern_id, ord, w, start, end, text): every match that counts."""
+    each = []
+    for i, p in enumerate(R.PATTERNS):
+        cut = f"SELECT doc_id, length(text) AS size, {pieces_sql(p)} AS ps FROM src"
+        # A particle is the last letter of A-17's match, where a guard takes one more.
+        end = "regexp_replace(t, '[^가-힣]$', '')" if p.id == "A-17" else "t"
+        each.append(f"SELECT doc_id, {X.quoted(p.id)} AS pattern_id, {i} AS ord, {p.weight * (0.6 + 0.2 * p.severity)!r}::DOUBLE AS w, {p.min_count} AS least, {p.context.endswith('final')} AS last_part, size, start, {end} AS t FROM (SELECT doc_id, size, {starts_sql('ps')} AS start, string_split(ps[k + 1], chr(2))[1] AS t FROM (SELECT *, unnest(range(1, len(ps))) AS k FROM ({cut})))")
+    return f"""src AS MATERIALIZED (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS text, genre FROM ({source})), matches AS MATERIALIZED ({' UNION ALL '.join(each)}), counted AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, pattern_id) AS n FROM matches WHERE NOT last_part OR start / size >= 0.7
+), hits AS MATERIALIZED (SELECT doc_id, pattern_id, ord, w, start::INT AS start, (start + length(t))::INT AS "end", trim(t) AS text FROM counted WHERE n >= least)"""
+
+
+SENTENCE_SCORES_SQL = f"""
+WITH {hits_sql(ALL_SQL)}, split AS (SELECT doc_id, {sents('text')} AS s FROM src), sentence AS (
+  SELECT doc_id, i::INT AS idx, s[i + 1] AS text, list_sum(list_transform(s[1:i], lambda x: length(regexp_replace(x, '\s', '', 'g')))) AS before FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM split)
+), edges AS (SELECT *, coalesce(before, 0) AS first, coalesce(before, 0) + length(regexp_replace(text, '\s', '', 'g')) AS past FROM sentence),
+placed AS (
+  SELECT h.*, length(regexp_replace(src.text[1:h.start], '\s', '', 'g')) AS at, regexp_matches(src.text[h.start + 1:h.start + 1], '\s') AS blank FROM hits h JOIN src USING (doc_id)
+)
+SELECT e.doc_id, e.idx, any_value(e.text) AS text, round(greatest(0.0, least(100.0, 100 * (1 - exp(-coalesce(sum(p.w), 0.0) / greatest(length(any_value(e.text)), 1) * 100 / 5)))), 1) AS score,
+  coalesce(string_agg(p.pattern_id, ' ' ORDER BY p.start, p."end", p.ord), '') AS hit_ids
+FROM edges e LEFT JOIN placed p ON p.doc_id = e.doc_id AND p.at >= e.first AND p.at < e.past AND NOT (p.blank AND p.at = e.first) GROUP BY e.doc_id, e.idx"""
+
+
 def layers_sql(source: str) -> str:
     size = f"greatest(length({strip('text')}), {R.LEAST_DENSITY_CHARS})"
     l2 = " + ".join(f"least({count_sql(p)} * 1000.0::DOUBLE / {size}, {max(p.cap, R.LEAST_CAP)}) * {p.weight}::DOUBLE" for p in R.PATTERNS)
@@ -143,14 +205,14 @@ WITH m AS MATERIALIZED ({metrics_sql(source)}), r AS MATERIALIZED (
 ), f AS (
   SELECT *, {R.FUSION['l1_calibrated_z']} * greatest(l1, {R.L1_FLOOR}) + {R.FUSION['l2_pattern_density']} * l2 + {R.FUSION['l3_rhythm']} * l3 + {R.FUSION['l4_human_evidence']} * l4 + {R.FUSION['bias']} AS logit FROM l
 )
-SELECT doc_id, n_chars, n_sentences, round(l1, 6) AS l1, round(l2, 6) AS l2, round(l3, 6) AS l3, round(l4, 6) AS l4, round(logit, 6) AS logit,
+SELECT doc_id, n_chars, n_sentences, round(l1, 6) AS l1, round(l2, 6) AS l2, round(l3, 6) AS l3, round(l4, 6) AS l4, round(logit, 6) AS logit, round(100 / (1 + exp(-logit)), 1) AS score,
   CASE WHEN round(100 / (1 + exp(-logit)), 1) >= 60 THEN 'high' WHEN round(100 / (1 + exp(-logit)), 1) >= 25 THEN 'medium' ELSE 'low' END AS band,
   CASE WHEN n_chars < 150 THEN 'insufficient' WHEN n_chars < 400 THEN 'low' ELSE 'normal' END AS confidence
 FROM f"""
 
 
 def _layer_columns(df: DataFrame) -> DataFrame:
-    return detect.fused(detect.layers(df)).select("doc_id", "n_chars", F.size("sents").cast("long").alias("n_sentences"), *[F.round(k, 6).alias(k) for k in ("l1", "l2", "l3", "l4", "logit")], "band", "confidence")
+    return detect.fused(detect.layers(df)).select("doc_id", "n_chars", F.size("sents").cast("long").alias("n_sentences"), *[F.round(k, 6).alias(k) for k in ("l1", "l2", "l3", "l4", "logit")], "score", "band", "confidence")
 
 
 # Sources and projections
@@ -317,19 +379,27 @@ def mth_3(spark, d):
 
 # Patterns, layers, scores
 
-_COUNTED = [p for p in R.PATTERNS if not p.context.endswith("final")]
+def _counts(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    counts = docs.select("doc_id", F.posexplode(detect.pattern_counts(F.col("text"))).alias("ord", "n")).where("n > 0")
+    return counts.join(F.broadcast(detect.registry_table(spark).select("ord", "pattern_id")), "ord").select("doc_id", "pattern_id", F.col("n").cast("long").alias("n"))
 
 
-@query("agg_1_pattern_counts", f"SELECT doc_id, pattern_id, n FROM ({' UNION ALL '.join(f'SELECT doc_id, {X.quoted(p.id)} AS pattern_id, ({count_sql(p)})::BIGINT AS n FROM ({TEXTS_SQL})' for p in _COUNTED)}) WHERE n > 0")
+@query("agg_1_pattern_counts", f"SELECT doc_id, pattern_id, n FROM ({' UNION ALL '.join(f'SELECT doc_id, {X.quoted(p.id)} AS pattern_id, ({count_sql(p)})::BIGINT AS n FROM ({TEXTS_SQL})' for p in R.PATTERNS)}) WHERE n > 0")
 def agg_1(spark, d):
-    counts = X.texts(spark).select("doc_id", F.posexplode(detect.pattern_counts(F.col("text"))).alias("ord", "n"))
-    return counts.join(F.broadcast(detect.registry_table(spark).select("ord", "pattern_id", "context")), "ord").where("n > 0 AND NOT context LIKE '%final'").select("doc_id", "pattern_id", F.col("n").cast("long").alias("n"))
+    return _counts(spark, X.texts(spark))
 
 
-@query("agg_1_pattern_counts_on_documents")
+@query("agg_1_pattern_counts_on_documents", f"WITH {hits_sql(ALL_SQL)} SELECT doc_id, pattern_id, count(*)::BIGINT AS n FROM hits GROUP BY ALL")
 def agg_1_documents(spark, d):
-    counts = all_texts(spark, d).select("doc_id", F.posexplode(detect.pattern_counts(F.col("text"))).alias("ord", "n")).where("n > 0")
-    return counts.join(F.broadcast(detect.registry_table(spark).select("ord", "pattern_id")), "ord").select("doc_id", "pattern_id", F.col("n").cast("long").alias("n"))
+    return _counts(spark, all_texts(spark, d))
+
+
+@query("agg_1_known_counts", f"SELECT case_id::INT AS case_id, id, n::BIGINT AS n FROM {X.values([(k, i, n) for k, i, _, n in ROWS], 't', 'case_id, id, n')}")
+def agg_1_known(spark, d):
+    """For each pattern and human signal its count in its own cases, against the known numbers."""
+    asked = spark.createDataFrame([(k, i, t) for k, i, t, _ in ROWS], "case_id int, id string, text string")
+    counts = F.map_from_arrays(F.array(*[F.lit(x.id) for x in (*R.PATTERNS, *R.HUMAN)]), F.concat(detect.pattern_counts(F.col("text")), detect.human_counts(F.col("text"))))
+    return asked.select("case_id", "id", F.element_at(counts, F.col("id")).cast("long").alias("n"))
 
 
 _PLAIN = [R.BY_ID[k] for k in ("C-2", "C-5", "C-9", "C-10", "C-50", "J-2", "J-3", "J-4")]
@@ -345,7 +415,7 @@ def agg_4(spark, d):
     return _human_counts(X.texts(spark))
 
 
-@query("agg_4_human_counts_on_documents")
+@query("agg_4_human_counts_on_documents", f"SELECT doc_id, {', '.join(f'{n_matches("text", re2(h.expression))}::BIGINT AS {h.id.replace("-", "_").lower()}' for h in R.HUMAN)} FROM ({ALL_SQL})")
 def agg_4_documents(spark, d):
     return _human_counts(all_texts(spark, d))
 
@@ -360,9 +430,9 @@ def scr_1(spark, d):
     return _layer_columns(documents(spark, d))
 
 
-@query("scr_2_score_korean", layers_sql(TEXTS_SQL))
+@query("scr_2_score_korean", layers_sql(KOREAN_SQL))
 def scr_2(spark, d):
-    return _layer_columns(X.texts(spark))
+    return _layer_columns(korean(spark))
 
 
 @query("flt_8_confidence", f"SELECT conv_id, turn, CASE WHEN n < 150 THEN 'insufficient' WHEN n < 400 THEN 'low' ELSE 'normal' END AS confidence FROM (SELECT conv_id, turn, length({strip('text')}) AS n FROM conversations)")
@@ -380,14 +450,14 @@ def scr_4(spark, d):
     return detect.analyze(X.texts(spark).unionByName(documents(spark, d).select("doc_id", "text", "genre"))).select("doc_id", "score", F.size("signals").alias("n_signals"), F.size("notes").alias("n_notes"), F.to_json("signals").alias("signals"))
 
 
-@query("rw_3_hits")
+@query("rw_3_hits", f'WITH {hits_sql(ALL_SQL)} SELECT doc_id, pattern_id, start, "end", text FROM hits')
 def rw_3(spark, d):
-    return detect.hits(X.texts(spark).unionByName(documents(spark, d).select("doc_id", "text", "genre"))).select("doc_id", "pattern_id", "start", "end", "text")
+    return detect.hits(all_texts(spark, d)).select("doc_id", "pattern_id", "start", "end", "text")
 
 
-@query("scr_3_sentence_scores")
+@query("scr_3_sentence_scores", SENTENCE_SCORES_SQL)
 def scr_3(spark, d):
-    return detect.sentence_scores(documents(spark, d))
+    return detect.sentence_scores(all_texts(spark, d)).select("doc_id", "idx", "text", "score", F.array_join("hit_ids", " ").alias("hit_ids"))
 
 
 @query("win_1_sentence_offsets", f"SELECT doc_id, i::INT AS idx, x AS text FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM ({split_sql(DOCS_SQL)}))")
@@ -548,11 +618,7 @@ def his_5(spark, d):
 
 @query("jn_4_hits_in_sentences", f"SELECT doc_id, i::INT AS idx, len(regexp_extract_all(x, '\\([^)\\n]{{6,60}}\\)'))::BIGINT AS n FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM ({split_sql(DOCS_SQL)})) WHERE len(regexp_extract_all(x, '\\([^)\\n]{{6,60}}\\)')) > 0")
 def jn_4(spark, d):
-    docs = documents(spark, d)
-    found = detect.hits(docs, ("J-4",), apply_min_count=False).select("doc_id", "start")
-    places = docs.select("doc_id", F.posexplode(detect.sentence_spans("text", T.sentences("text"))).alias("idx", "s"))
-    met = places.join(found, "doc_id").where((F.col("start") >= F.col("s.start")) & (F.col("start") < F.col("s.end")))
-    return met.groupBy("doc_id", "idx").agg(F.count("*").alias("n"))
+    return detect.sentence_hits(documents(spark, d), ("J-4",), apply_min_count=False).groupBy("doc_id", "idx").agg(F.count("*").alias("n"))
 
 
 # Single layers, gates and joins with the fixed tables
@@ -571,7 +637,7 @@ def flt_1(spark, d):
     return _subset_counts(X.texts(spark))
 
 
-@query("flt_1_pattern_subset_on_documents")
+@query("flt_1_pattern_subset_on_documents", f"SELECT doc_id, ({count_sql(R.BY_ID['C-1'])} + {count_sql(R.BY_ID['H-1'])})::BIGINT AS n FROM ({ALL_SQL})")
 def flt_1_documents(spark, d):
     return _subset_counts(all_texts(spark, d))
 
