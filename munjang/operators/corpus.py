@@ -101,8 +101,9 @@ def topics(corpus: DataFrame) -> DataFrame:
 def generation_prompts(topics: DataFrame, count: int, length: int = 900) -> DataFrame:
     """(i, topic, prompt, temperature): topics in turn, template and temperature drawn from a hash of i."""
     spark = topics.sparkSession
-    per_part = Window.orderBy("topic")  # the topic list is a parameter of the job: as short as a prompt plan
-    numbered = topics.select("topic").distinct().withColumn("k", F.row_number().over(per_part) - 1)
+    # No more topics are numbered than prompts are asked for, whatever the corpus holds.
+    wanted_topics = topics.select("topic").distinct().orderBy("topic").limit(count)
+    numbered = wanted_topics.withColumn("k", F.row_number().over(Window.orderBy("topic")) - 1)
     n = numbered.count()
     if not n:
         return spark.createDataFrame([], "i long, topic string, prompt string, temperature double")
@@ -117,8 +118,7 @@ def adversarial(docs: DataFrame, level: str = "aggressive") -> DataFrame:
     """(doc_id, genre, text) of documents as the rules rewrite them; rewrites that were given up are left out."""
     from munjang.operators.rewrite import polish
 
-    out = polish(docs, level, scores=False).where("NOT aborted").select("doc_id", "text")
-    return docs.select("doc_id", "genre").join(out, "doc_id").select("doc_id", "genre", "text")
+    return polish(docs, level, scores=False).where("NOT aborted").select("doc_id", "genre", "text")
 
 
 def classes(human: DataFrame, machine: DataFrame) -> DataFrame:

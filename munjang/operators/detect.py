@@ -7,11 +7,8 @@ are longer than the documents.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from munjang.functions import metrics as M
 from munjang.functions import registry as R
@@ -168,14 +165,15 @@ def notes(fitted: bool = False) -> Column:
     return F.filter(F.array(*each), lambda x: x.isNotNull())
 
 
-def analyze(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """One report per document: score, band, confidence, layers, metrics, signals and notes."""
+def analyze(docs: DataFrame, weights: dict[str, float] | None = None, *more: str) -> DataFrame:
+    """One report per row of ``docs``: score, band, confidence, layers, metrics, signals and notes; ``more`` columns of docs as they are, and "sentences" the scored sentences."""
     out = fused(layers(docs), weights)
+    out = with_sentence_scores(out) if "sentences" in more else out
     return out.select(
         "doc_id", "genre", "score", "band", "confidence", F.lit(weights is not None).alias("fusion_calibrated"), "n_chars", F.size("sents").cast("long").alias("n_sentences"),
         F.create_map(*[x for k, c in (("l1_calibrated_z", "l1"), ("l2_pattern_density", "l2"), ("l3_rhythm", "l3"), ("l4_human_evidence", "l4"), ("logit", "logit")) for x in (F.lit(k), F.round(c, 3))]).alias("layers"),
         "metrics", signals().alias("signals"), notes(weights is not None).alias("notes"),
-        F.map_from_entries(F.filter(F.transform("pattern_counts", lambda n, i: F.struct(_literal([p.id for p in R.PATTERNS])[i].alias("id"), n.alias("n"))), lambda x: x["n"] > 0)).alias("pattern_counts"),
+        F.map_from_entries(F.filter(F.transform("pattern_counts", lambda n, i: F.struct(_literal([p.id for p in R.PATTERNS])[i].alias("id"), n.alias("n"))), lambda x: x["n"] > 0)).alias("pattern_counts"), *more,
     )
 
 
@@ -186,30 +184,25 @@ def registry_table(spark: SparkSession) -> DataFrame:
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    """The text that is measured, and a number of the row: ids may be null or occur more than once."""
+    """The text that is measured."""
     text = without_marks(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")))
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
+    return docs.select("doc_id", text.alias("text"))
 
 
-def _numbered(i: int) -> Callable[[Column], Column]:
-    return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(i).alias("ord"), F.trim(x["text"]).alias("text"))
+def found_hits(text: Column, ids: tuple[str, ...] | None = None, apply_min_count: bool = True) -> Column:
+    """array<struct<start, end, ord, text>> of the matches that count, by place. Each expression is a constant, so it is compiled once, and runs only on texts that hold one of its strings; what follows is one expression for all patterns."""
+    asked = [(i, p) for i, p in enumerate(R.PATTERNS) if ids is None or p.id in ids]
+    if not asked:
+        return F.array().cast("array<struct<start:int,end:int,ord:int,text:string>>")
+    cut = F.array(*[F.when(holds_any(text, p.literals), pieces(text, p.java)).otherwise(F.array(F.lit(""))) for _, p in asked])
+    known = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(p.min_count if apply_min_count else 1).alias("least"), F.lit(p.context.endswith("final")).alias("final")) for i, p in asked])
+    size = F.greatest(F.length(text), F.lit(1))
 
+    def one(parts: Column, k: Column) -> Column:
+        counted = F.filter(spans(parts), lambda x: ~known[k]["final"] | (x["start"] / size >= _FINAL))
+        return F.transform(counted, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), known[k]["ord"].alias("ord"), F.trim(x["text"]).alias("text")))
 
-def found_hits(text: Column, ids: tuple[str, ...] | None = None, apply_min_count: bool = True) -> Column:
-    """array<struct<start, end, ord, text>> of the matches that count, by place. Each expression is a constant, so it is compiled once, and runs only on texts that hold one of its strings."""
-    each = []
-    for i, p in enumerate(R.PATTERNS):
-        if ids is not None and p.id not in ids:
-            continue
-        found = spans(pieces(text, p.java))
-        if p.context.endswith("final"):
-            found = F.filter(found, lambda x: x["start"] / F.greatest(F.length(text), F.lit(1)) >= _FINAL)
-        own = F.transform(found, _numbered(i))
-        if apply_min_count and p.min_count > 1:
-            own = F.when(F.size(own) >= p.min_count, own)
-        each.append(F.when(holds_any(text, p.literals), own))
-    kind = "array<struct<start:int,end:int,ord:int,text:string>>"
-    return F.array_sort(F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull())).cast(kind)) if each else F.array().cast(kind)
+    return F.array_sort(F.flatten(F.filter(F.transform(cut, one), lambda x, k: F.size(x) >= known[k]["least"])))
 
 
 def _named(hit: Column) -> Column:
@@ -239,29 +232,47 @@ def sentence_spans(text: Column | str, sents: Column | str) -> Column:
     return F.aggregate(sents, begin, step)["found"]
 
 
-def _in_order(docs: DataFrame, ids: tuple[str, ...] | None = None, apply_min_count: bool = True) -> DataFrame:
-    """Sentences (hit 0) and hits (hit 1) of each row in one order of places, each hit with the last sentence before it (``s``): no pairs are formed. Rows are told apart by their number, so null and repeated ids stay as they are."""
-    both = _plain(docs).select("row", "doc_id", sentence_spans("text", sentences("text")).alias("s"), found_hits(F.col("text"), ids, apply_min_count).alias("h"))
-    kind = "struct<start:int,hit:int,idx:int,end:int,ord:int,text:string>"
-    places = F.transform("s", lambda x, i: F.struct(x["start"].alias("start"), F.lit(0).alias("hit"), i.alias("idx"), x["end"].alias("end"), F.lit(None).cast("int").alias("ord"), x["text"].alias("text")).cast(kind))
-    found = F.transform("h", lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("hit"), F.lit(None).cast("int").alias("idx"), x["end"].alias("end"), x["ord"].alias("ord"), F.lit(None).cast("string").alias("text")).cast(kind))
-    order = both.select("row", "doc_id", F.explode(F.concat(places, found)).alias("x")).select("row", "doc_id", "x.*")
-    before = Window.partitionBy("row").orderBy("start", "hit").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("hit") == 0, F.struct("idx", "end")), ignorenulls=True).over(before)
-    return order.withColumn("s", last).where("s IS NOT NULL AND (hit = 0 OR start < s.end)")
+def once(c: Column) -> Column:
+    """``c``, computed once for a row: an expression that counts as nondeterministic is not copied to every place that uses its column."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
+def _below(starts: Column, x: Column) -> Column:
+    """How many of the sorted numbers are less than x: a binary search, as a fold over powers of two."""
+    steps = F.array(*[F.lit(1 << k) for k in range(26, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= F.size(starts)) & (F.get(starts, n + step - 1) < x), n + step).otherwise(n))
+
+
+def _with_sentences(df: DataFrame, ids: tuple[str, ...] | None = None, apply_min_count: bool = True) -> DataFrame:
+    """With ``_own``: each sentence of ``text`` and the hits that begin in it. Both are in order of place, so a sentence's hits are one slice, found by search within the row."""
+    df = df.withColumns({"_spans": once(sentence_spans("text", sentences("text"))), "_hits": once(found_hits(F.col("text"), ids, apply_min_count))})
+    df = df.withColumn("_at", once(F.transform("_hits", lambda h: h["start"])))
+
+    def one(x: Column, i: Column) -> Column:
+        first = _below(F.col("_at"), x["start"])
+        own = F.slice("_hits", first + 1, F.greatest(_below(F.col("_at"), x["end"]) - first, F.lit(0)))
+        return F.struct(i.alias("idx"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.when(F.size("_hits") > 0, own).otherwise(F.slice("_hits", 1, 0)).alias("own"))
+
+    return df.withColumn("_own", once(F.transform("_spans", one))).drop("_spans", "_hits", "_at")
+
+
+def with_sentence_scores(df: DataFrame) -> DataFrame:
+    """With ``sentences``: array<struct<idx, start, end, text, score, hit_ids, hit_names>> of column ``text``. The score is the weight of the hits that begin in a sentence, for its length."""
+    known = F.array(*[F.struct(F.lit(p.id).alias("id"), F.lit(p.name).alias("name"), F.lit(p.weight * (0.6 + 0.2 * p.severity)).alias("w")) for p in R.PATTERNS])
+
+    def one(x: Column) -> Column:
+        load = F.aggregate(x["own"], F.lit(0.0), lambda a, h: a + known[h["ord"]]["w"]) / F.greatest(F.length(x["text"]), F.lit(1)) * 100
+        return F.struct(*[x[k].alias(k) for k in ("idx", "start", "end", "text")], F.round(M.clip(100 * (1 - F.exp(-load / 5)), 0.0, 100.0), 1).alias("score"), F.transform(x["own"], lambda h: known[h["ord"]]["id"]).alias("hit_ids"), F.transform(x["own"], lambda h: known[h["ord"]]["name"]).alias("hit_names"))
+
+    return _with_sentences(df).withColumn("sentences", once(F.transform("_own", one))).drop("_own")
 
 
 def sentence_hits(docs: DataFrame, ids: tuple[str, ...] | None = None, apply_min_count: bool = True) -> DataFrame:
     """doc_id, idx, ord, start, end: each hit with the sentence that it begins in."""
-    return _in_order(docs, ids, apply_min_count).where("hit = 1").select("doc_id", F.col("s.idx").alias("idx"), "ord", "start", "end")
+    rows = _with_sentences(_plain(docs), ids, apply_min_count).select("doc_id", F.explode("_own").alias("s")).select("doc_id", "s.idx", F.explode("s.own").alias("h"))
+    return rows.select("doc_id", "idx", "h.ord", "h.start", "h.end")
 
 
 def sentence_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, idx, start, end, text, score, hit_ids, hit_names of every sentence: the weight of the hits that begin in it, for its length."""
-    held = _in_order(docs)
-    of = lambda c: F.max(F.when(F.col("hit") == 0, F.col(c)))
-    rows = held.groupBy("row", F.col("s.idx").alias("idx")).agg(F.first("doc_id").alias("doc_id"), *[of(c).alias(c) for c in ("start", "end", "text")], F.array_sort(F.collect_list(F.when(F.col("hit") == 1, F.struct("start", "end", "ord")))).alias("own"))
-    known = F.array(*[F.struct(F.lit(p.id).alias("id"), F.lit(p.name).alias("name"), F.lit(p.weight * (0.6 + 0.2 * p.severity)).alias("w")) for p in R.PATTERNS])
-    rows = rows.withColumn("own", F.transform("own", lambda h: known[h["ord"]]))
-    load = F.aggregate("own", F.lit(0.0), lambda a, h: a + h["w"]) / F.greatest(F.length("text"), F.lit(1)) * 100
-    return rows.select("doc_id", "idx", "start", "end", "text", F.round(M.clip(100 * (1 - F.exp(-load / 5)), 0.0, 100.0), 1).alias("score"), F.col("own.id").alias("hit_ids"), F.col("own.name").alias("hit_names"))
+    """doc_id, idx, start, end, text, score, hit_ids, hit_names of every sentence. No shuffle, no pairs of sentences and hits; null and repeated ids are rows like others."""
+    return with_sentence_scores(_plain(docs)).select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")

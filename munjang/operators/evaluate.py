@@ -24,11 +24,17 @@ def slices(scored: DataFrame) -> DataFrame:
     return rows
 
 
-def by_score(rows: DataFrame, key: str = "slice") -> DataFrame:
-    """Positives and negatives of each distinct score, with those above it. Scores are rounded, so there are at most a thousand or so for each slice."""
+def by_score(rows: DataFrame, key: str = "slice", steps: int = 256) -> DataFrame:
+    """Positives and negatives of each distinct score, with those above it: a prefix sum over ``steps`` bands of a key's scores, then one within each band, so a key of very many scores is no single task."""
     counts = rows.groupBy(key, "score").agg(F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("neg"))
-    above = Window.partitionBy(key).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumns({"pos_above": F.coalesce(F.sum("pos").over(above), F.lit(0)), "neg_above": F.coalesce(F.sum("neg").over(above), F.lit(0))})
+    ends = counts.groupBy(key).agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    banded = counts.join(ends, key).withColumn("_band", F.floor((F.col("score") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-12)) * steps)).drop("_low", "_high")
+    higher = Window.partitionBy(key).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = banded.groupBy(key, "_band").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    bands = bands.select(key, "_band", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(c) for c in ("_pos", "_neg")])
+    above = Window.partitionBy(key, "_band").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    both = banded.join(bands, [key, "_band"])
+    return both.select(key, "score", "pos", "neg", *[(F.col(f"_{c}") + F.coalesce(F.sum(c).over(above), F.lit(0))).alias(f"{c}_above") for c in ("pos", "neg")])
 
 
 def auroc(rows: DataFrame, key: str = "slice") -> DataFrame:

@@ -13,11 +13,12 @@ KEPT, SHOWN = 500, 60
 
 
 def without_repeats(rows: DataFrame, by: str = "id", key: str | None = None) -> DataFrame:
-    """Rows that do not repeat text and kind of the row before them; blank texts go. With ``key`` each key is a log of its own."""
-    window = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(by)
+    """Rows that do not repeat text and kind of the row before them; blank texts go. With ``key`` each key is a log of its own; one log is worked on by ranges of ``by``."""
+    if key is None:
+        return _without_repeats_by_range(rows, by)
     now = F.struct("text", "kind")
     said = rows.where(F.coalesce(F.trim("text"), F.lit("")) != "")
-    return said.withColumn("_last", F.lag(now).over(window)).where(F.col("_last").isNull() | (F.col("_last") != now)).drop("_last")
+    return said.withColumn("_last", F.lag(now).over(Window.partitionBy(key).orderBy(by))).where(F.col("_last").isNull() | (F.col("_last") != now)).drop("_last")
 
 
 def newest(rows: DataFrame, n: int = KEPT, by: str = "id") -> DataFrame:
