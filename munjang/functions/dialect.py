@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import re._constants as sre
 import re._parser as parser
+from collections.abc import Iterable
 from functools import lru_cache
 
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8}))")
@@ -18,6 +19,17 @@ def java(expression: str, guard: str = "") -> str:
     return flags + guard + _ESCAPE.sub(lambda m: rf"\x{{{(m[1] or m[2]).lstrip('0')}}}", expression)
 
 
+def any_of(words: Iterable[str]) -> str:
+    """An expression for the longest of some literal words at a place: words with one first letter share a branch, the end of a word being tried last."""
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        tails.setdefault(word[:1], []).append(word[1:])
+    if set(tails) <= {""}:
+        return ""
+    branches = [re.escape(first) + any_of(rest) for first, rest in tails.items() if first]
+    return f"(?:{'|'.join(branches + [''] * ('' in tails))})"
+
+
 def _better(a: set[str] | None, b: set[str] | None) -> set[str] | None:
     """The more selective of two sets: the one whose shortest string is longer, then the smaller one."""
     if a is None or b is None:

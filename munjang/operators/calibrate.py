@@ -46,8 +46,29 @@ def metric_baselines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return rows.groupBy("genre", "metric").agg(F.round(F.avg("v"), 5).alias("mean"), F.round(F.stddev_pop("v"), 5).alias("sd"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
 
 
-def weights_json(weights: dict[str, float]) -> str:
-    return json.dumps(weights | {"_fitted": True}, ensure_ascii=False, indent=2)
+def baseline_table(docs: DataFrame, source: str = "human documents") -> dict:
+    """Metric baselines as a nested table: a few cells for each genre, so it fits the driver."""
+    genres: dict[str, dict] = {}
+    for r in sorted(metric_baselines(docs).collect(), key=lambda r: (r["genre"], r["metric"])):
+        genres.setdefault(r["genre"], {})[r["metric"]] = {"mean": r["mean"], "stdev": r["sd"], "n": r["n"], "_placeholder": False}
+    return {"version": "calibrated", "source": source, "genres": genres}
+
+
+def run(docs: DataFrame, weights_path: str | None = None, baseline_path: str | None = None) -> tuple[dict, dict]:
+    """Fit weights on labelled documents (doc_id, text, genre, label) and measure baselines on the human ones. Written as JSON text where paths are given, any that Spark writes; without them nothing is written."""
+    rows = features(docs)
+    weights = fit(rows)
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    baseline = baseline_table(docs.where("label = 0"))
+    for path, text in ((weights_path, weights_json(weights, counts)), (baseline_path, json.dumps(baseline, ensure_ascii=False, indent=2))):
+        if path:
+            docs.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return weights, baseline
+
+
+def weights_json(weights: dict[str, float], counts: dict[int, int] | None = None) -> str:
+    known = {"_n_human": counts.get(0, 0), "_n_ai": counts.get(1, 0)} if counts else {}
+    return json.dumps(weights | {"_fitted": True} | known, ensure_ascii=False, indent=2)
 
 
 def read_weights(text: str | None) -> dict[str, float] | None:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from munjang.functions.text import document_id, normalize, strip, truncate
+from munjang.sources.documents import read_documents, read_wiki_dump
 
 # Limits of a document and of a paragraph, prompt templates and temperatures, the last month before large models.
 MIN_CHARS, MAX_CHARS, PARAGRAPH_CHARS, HANGUL_SHARE = 400, 6000, 40, 0.35
@@ -55,7 +56,8 @@ def clean_wikitext(c: Column | str, rounds: int = 3) -> Column:
 
 def wiki_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """(title, text) of articles of a dump (title, ns, text): main namespace, no redirects, cleaned, long enough."""
-    kept = pages.where("ns = 0 AND NOT lower(ltrim(text)) LIKE '#redirect%' AND NOT ltrim(text) LIKE '#넘겨주기%'").select("title", clean_wikitext("text").alias("text")).where(F.length("text") >= MIN_CHARS)
+    redirect = F.contains(F.upper(F.substring("text", 1, 40)), F.lit("#REDIRECT")) | F.startswith(F.ltrim("text"), F.lit("#넘겨주기"))
+    kept = pages.where((F.col("ns") == 0) & (F.coalesce("text", F.lit("")) != "") & ~redirect).select("title", clean_wikitext("text").alias("text")).where(F.length("text") >= MIN_CHARS)
     return kept.limit(limit) if limit else kept
 
 
@@ -92,6 +94,33 @@ def genre_of_path(path: Column | str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"([^/]*?)__[^/]*$", 1), F.lit("")), F.lit("essay"))
 
 
+def import_files(spark: SparkSession, paths: list[str], label: str, genre: str = "essay", before_models: bool = False, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents to save, files that failed) of folders and files of every supported kind; a path that is named twice is read once.
+
+    Human documents are taken only where the caller vouches that they were
+    written before large language models (``before_models``).
+    """
+    if label == "human" and not before_models:
+        raise ValueError("human documents need before_models=True: their texts must be older than large language models")
+    found = read_documents(spark, sorted(set(paths)))
+    read = found.where("error IS NULL").select(F.lit(label).alias("label"), F.lit(genre).alias("genre"), "text")
+    return admit(read, existing), found.where("error IS NOT NULL").select("path", "error")
+
+
+def import_wiki(spark: SparkSession, path: str, label: str, genre: str = "report", limit: int | None = None, force: bool = False, existing: DataFrame | None = None) -> DataFrame:
+    """Documents to save from a dump: of a month up to the cutoff unless forced, and no more than ``limit``."""
+    if not force and not spark.range(1).select(dump_allowed(F.lit(path)).alias("ok")).first()["ok"]:
+        raise ValueError(f"{path} is younger than {CUTOFF[0]}-{CUTOFF[1]:02d}")
+    pages = wiki_pages(read_wiki_dump(spark, path)).select(F.lit(label).alias("label"), F.lit(genre).alias("genre"), "text")
+    kept = admit(pages, existing)
+    return kept.limit(limit) if limit else kept
+
+
+def topics_of_file(spark: SparkSession, path: str) -> DataFrame:
+    """(topic): the lines of a text file that are not blank."""
+    return spark.read.text(path).select(strip(F.col("value")).alias("topic")).where("topic <> ''")
+
+
 def topics(corpus: DataFrame) -> DataFrame:
     """(doc_id, topic): the first sentence of each document's first 300 characters, if of fitting length."""
     first = F.split(strip(F.substring("text", 1, 300)), r"(?U)(?<=[.!?])\s")[0]

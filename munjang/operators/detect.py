@@ -103,7 +103,7 @@ def fused(out: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """With logit, score, band and confidence; ``weights`` replace the built-in ones."""
     w = R.FUSION | (weights or {})
     logit = w["l1_calibrated_z"] * F.greatest("l1", F.lit(R.L1_FLOOR)) + w["l2_pattern_density"] * F.col("l2") + w["l3_rhythm"] * F.col("l3") + w["l4_human_evidence"] * F.col("l4") + w["bias"]
-    out = out.withColumn("logit", logit).withColumn("score", F.round(100 * sigmoid(F.col("logit")), 1))
+    out = out.withColumn("logit", logit).withColumn("score", F.bround(100 * sigmoid(F.col("logit")), 1))
     return out.withColumns({"band": band("score"), "confidence": confidence("n_chars")})
 
 
@@ -262,7 +262,7 @@ def with_sentence_scores(df: DataFrame) -> DataFrame:
 
     def one(x: Column) -> Column:
         load = F.aggregate(x["own"], F.lit(0.0), lambda a, h: a + known[h["ord"]]["w"]) / F.greatest(F.length(x["text"]), F.lit(1)) * 100
-        return F.struct(*[x[k].alias(k) for k in ("idx", "start", "end", "text")], F.round(M.clip(100 * (1 - F.exp(-load / 5)), 0.0, 100.0), 1).alias("score"), F.transform(x["own"], lambda h: known[h["ord"]]["id"]).alias("hit_ids"), F.transform(x["own"], lambda h: known[h["ord"]]["name"]).alias("hit_names"))
+        return F.struct(*[x[k].alias(k) for k in ("idx", "start", "end", "text")], F.bround(M.clip(100 * (1 - F.exp(-load / 5)), 0.0, 100.0), 1).alias("score"), F.transform(x["own"], lambda h: known[h["ord"]]["id"]).alias("hit_ids"), F.transform(x["own"], lambda h: known[h["ord"]]["name"]).alias("hit_names"))
 
     return _with_sentences(df).withColumn("sentences", once(F.transform("_own", one))).drop("_own")
 

@@ -34,6 +34,24 @@ REWRITES = [
     ("a17-2", "aggressive", "다양한 요소들이 있고 많은 사람들이 모였다.", "다양한 요소가 있고 많은 사람이 모였다."),
     ("d1c-1", "moderate", "그렇다고 볼 수 있습니다.", "그렇다고 볼 수 있습니다."),
     ("nl-1", "safe", "밥을 먹으며,\n둘째 줄이다.", "밥을 먹으며,\n둘째 줄이다."),
+    ("a2-1", "aggressive", "교육을 통해 배우고 경험을 통해서 자라며 대화를 통해 가까워진다.", "교육으로 배우고 경험으로 자라며 대화로 가까워진다."),
+    ("a2-2", "aggressive", "친구를 통해 알고 교육을 통해 배우고 독서를 통해 깊어진다.", "친구를 통해 알고 교육으로 배우고 독서로 깊어진다."),
+    ("a2-3", "aggressive", "교육을 통해 배우고 경험을 통해 자란다.", "교육을 통해 배우고 경험을 통해 자란다."),
+    ("a7-1", "moderate", "그는 뛰어난 능력을 가지고 있다.", "그는 뛰어난 능력이 있다."),
+    ("a7-2", "moderate", "그는 남다른 재주를 가지고 있습니다.", "그는 남다른 재주가 있습니다."),
+    ("d1b-3", "moderate", "이 일은 커다란 혁신이라고 할 수 있다.", "이 일은 커다란 혁신이다."),
+    ("d1b-4", "moderate", "이 일은 커다란 기회라고 할 수 있다.", "이 일은 커다란 기회다."),
+    ("d1c-2", "moderate", "이 산이 저 산보다 훨씬 크다고 볼 수 있다.", "이 산이 저 산보다 훨씬 크다."),
+    ("g2-1", "moderate", "성능이 크게 향상될 수 있을 것으로 보인다.", "성능이 크게 향상될 수 있다."),
+    ("c11a-3", "safe", "밥을 먹으며, 책을 읽지만, 잔다.", "밥을 먹으며 책을 읽지만 잔다."),
+    ("c50-1", "aggressive", "**가** 그리고 **나** 그리고 **다**", "가 그리고 나 그리고 다"),
+    ("c5-2", "safe", "오늘은 좋은 소식 👍 입니다", "오늘은 좋은 소식 입니다"),
+    ("d50-1", "aggressive", "급변하는 현대 사회에서, 우리는 무엇을 해야 하는지 늘 고민하며 살아간다.", "우리는 무엇을 해야 하는지 늘 고민하며 살아간다."),
+    ("f1-2", "aggressive", "이 산은 매우 높고 저 강은 정말 길다.", "이 산은 높고 저 강은 길다."),
+    ("keep-1", "aggressive", '그는 "결론적으로, 매우 중요하고 정말 크다"고 말했다.', '그는 "결론적으로, 매우 중요하고 정말 크다"고 말했다.'),
+    ("keep-2", "aggressive", "코드는 `매우 정말 아주` 이고 주소는 https://a.b/매우 이다.", "코드는 `매우 정말 아주` 이고 주소는 https://a.b/매우 이다."),
+    ("keep-3", "aggressive", "> 매우 크고 정말 길다.\n본문은 무척 짧고 아주 쉽다.", "> 매우 크고 정말 길다.\n본문은 짧고 쉽다."),
+    ("gate-1", "aggressive", "결론적으로, 가", "결론적으로, 가"),
     ("c5-1", "safe", "평점은 ★★★☆☆ 이고 체크는 ✓ 다.", "평점은 ★★★☆☆ 이고 체크는 ✓ 다."),
 ]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import io
 import re
 import zipfile
@@ -43,8 +44,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents, the inline texts and the cases of every pattern, whose ids are put below those of documents."""
-    return documents(spark, folder).select("doc_id", "text", "genre").unionByName(korean(spark))
+    """Documents and the inline texts, whose ids are put below those of documents."""
+    return documents(spark, folder).select("doc_id", "text", "genre").unionByName(X.texts(spark).withColumn("doc_id", F.col("doc_id") - 100))
+
+
+def known_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, the inline texts and the cases of every pattern."""
+    return all_texts(spark, folder).unionByName(X.cases(spark))
 
 
 def korean(spark: SparkSession) -> DataFrame:
@@ -93,8 +99,10 @@ DOCS_SQL = f"SELECT doc_id, coalesce(text, '') AS text, {GENRE_SQL} AS genre FRO
 TEXTS_SQL = f"SELECT doc_id::BIGINT AS doc_id, text, genre FROM {X.values(X.TEXTS, 't', 'doc_id, text, genre')}"
 
 
-KOREAN_SQL = f"SELECT doc_id - 100 AS doc_id, text, genre FROM ({TEXTS_SQL}) UNION ALL SELECT doc_id::BIGINT, text, 'essay' FROM {X.values([(k - 1000, t) for k, _, t, _ in ROWS], 't', 'doc_id, text')}"
-ALL_SQL = f"{DOCS_SQL} UNION ALL {KOREAN_SQL}"
+INLINE_SQL = f"SELECT doc_id - 100 AS doc_id, text, genre FROM ({TEXTS_SQL})"
+KOREAN_SQL = f"{INLINE_SQL} UNION ALL SELECT doc_id::BIGINT, text, 'essay' FROM {X.values([(k - 1000, t) for k, _, t, _ in ROWS], 't', 'doc_id, text')}"
+ALL_SQL = f"{DOCS_SQL} UNION ALL {INLINE_SQL}"
+KNOWN_SQL = f"{DOCS_SQL} UNION ALL {KOREAN_SQL}"
 
 
 def split_sql(source: str) -> str:
@@ -172,8 +180,8 @@ def hits_sql(source: str) -> str:
 ), hits AS MATERIALIZED (SELECT doc_id, pattern_id, ord, w, start::INT AS start, (start + length(t))::INT AS "end", trim(t) AS text FROM counted WHERE n >= least)"""
 
 
-SENTENCE_SCORES_SQL = f"""
-WITH {hits_sql(ALL_SQL)}, split AS (SELECT doc_id, {sents('text')} AS s FROM src), sentence AS (
+SENTENCE_SCORES_SQL = rf"""
+WITH {hits_sql(KNOWN_SQL)}, split AS (SELECT doc_id, {sents('text')} AS s FROM src), sentence AS (
   SELECT doc_id, i::INT AS idx, s[i + 1] AS text, list_sum(list_transform(s[1:i], lambda x: length(regexp_replace(x, '\s', '', 'g')))) AS before FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM split)
 ), edges AS (SELECT *, coalesce(before, 0) AS first, coalesce(before, 0) + length(regexp_replace(text, '\s', '', 'g')) AS past FROM sentence),
 placed AS (
@@ -184,7 +192,7 @@ SELECT e.doc_id, e.idx, any_value(e.text) AS text, round(greatest(0.0, least(100
 FROM edges e LEFT JOIN placed p ON p.doc_id = e.doc_id AND p.at >= e.first AND p.at < e.past AND NOT (p.blank AND p.at = e.first) GROUP BY e.doc_id, e.idx"""
 
 
-def layers_sql(source: str) -> str:
+def layers_sql(source: str, places: int = 6) -> str:
     size = f"greatest(length({strip('text')}), {R.LEAST_DENSITY_CHARS})"
     l2 = " + ".join(f"least({count_sql(p)} * 1000.0::DOUBLE / {size}, {max(p.cap, R.LEAST_CAP)}) * {p.weight}::DOUBLE" for p in R.PATTERNS)
     l4 = " + ".join(f"least({n_matches('text', re2(h.expression))} * 1000.0::DOUBLE / {size}, 6.0) * {h.weight}::DOUBLE" for h in R.HUMAN)
@@ -205,7 +213,7 @@ WITH m AS MATERIALIZED ({metrics_sql(source)}), r AS MATERIALIZED (
 ), f AS (
   SELECT *, {R.FUSION['l1_calibrated_z']} * greatest(l1, {R.L1_FLOOR}) + {R.FUSION['l2_pattern_density']} * l2 + {R.FUSION['l3_rhythm']} * l3 + {R.FUSION['l4_human_evidence']} * l4 + {R.FUSION['bias']} AS logit FROM l
 )
-SELECT doc_id, n_chars, n_sentences, round(l1, 6) AS l1, round(l2, 6) AS l2, round(l3, 6) AS l3, round(l4, 6) AS l4, round(logit, 6) AS logit, round(100 / (1 + exp(-logit)), 1) AS score,
+SELECT doc_id, n_chars, n_sentences, round(l1, {places}) AS l1, round(l2, {places}) AS l2, round(l3, {places}) AS l3, round(l4, {places}) AS l4, round(logit, {places}) AS logit, round(100 / (1 + exp(-logit)), 1) AS score,
   CASE WHEN round(100 / (1 + exp(-logit)), 1) >= 60 THEN 'high' WHEN round(100 / (1 + exp(-logit)), 1) >= 25 THEN 'medium' ELSE 'low' END AS band,
   CASE WHEN n_chars < 150 THEN 'insufficient' WHEN n_chars < 400 THEN 'low' ELSE 'normal' END AS confidence
 FROM f"""
@@ -389,9 +397,9 @@ def agg_1(spark, d):
     return _counts(spark, X.texts(spark))
 
 
-@query("agg_1_pattern_counts_on_documents", f"WITH {hits_sql(ALL_SQL)} SELECT doc_id, pattern_id, count(*)::BIGINT AS n FROM hits GROUP BY ALL")
+@query("agg_1_pattern_counts_on_documents", f"WITH {hits_sql(KNOWN_SQL)} SELECT doc_id, pattern_id, count(*)::BIGINT AS n FROM hits GROUP BY ALL")
 def agg_1_documents(spark, d):
-    return _counts(spark, all_texts(spark, d))
+    return _counts(spark, known_texts(spark, d))
 
 
 @query("agg_1_known_counts", f"SELECT case_id::INT AS case_id, id, n::BIGINT AS n FROM {X.values([(k, i, n) for k, i, _, n in ROWS], 't', 'case_id, id, n')}")
@@ -450,14 +458,14 @@ def scr_4(spark, d):
     return detect.analyze(X.texts(spark).unionByName(documents(spark, d).select("doc_id", "text", "genre"))).select("doc_id", "score", F.size("signals").alias("n_signals"), F.size("notes").alias("n_notes"), F.to_json("signals").alias("signals"))
 
 
-@query("rw_3_hits", f'WITH {hits_sql(ALL_SQL)} SELECT doc_id, pattern_id, start, "end", text FROM hits')
+@query("rw_3_hits", f'WITH {hits_sql(KNOWN_SQL)} SELECT doc_id, pattern_id, start, "end", text FROM hits')
 def rw_3(spark, d):
-    return detect.hits(all_texts(spark, d)).select("doc_id", "pattern_id", "start", "end", "text")
+    return detect.hits(known_texts(spark, d)).select("doc_id", "pattern_id", "start", "end", "text")
 
 
 @query("scr_3_sentence_scores", SENTENCE_SCORES_SQL)
 def scr_3(spark, d):
-    return detect.sentence_scores(all_texts(spark, d)).select("doc_id", "idx", "text", "score", F.array_join("hit_ids", " ").alias("hit_ids"))
+    return detect.sentence_scores(known_texts(spark, d)).select("doc_id", "idx", "text", "score", F.array_join("hit_ids", " ").alias("hit_ids"))
 
 
 @query("win_1_sentence_offsets", f"SELECT doc_id, i::INT AS idx, x AS text FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM ({split_sql(DOCS_SQL)}))")
@@ -492,6 +500,24 @@ def rw_2(spark, d):
     return rewrite.polish(all_texts(spark, d), "aggressive").select("doc_id", "text", "change_rate", "aborted", "before_score", "after_score", "improved", F.to_json("changes").alias("changes"))
 
 
+_PAIRS = [(c, lv, a, b) for c, lv, a, b in X.REWRITES]
+_RATES = [(c, round(1 - difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), 4)) for c, _, a, b in _PAIRS]
+
+
+@query("str_14_change_rate_of_rewrites", f"SELECT case_id, rate::DOUBLE AS rate FROM {X.values(_RATES, 't', 'case_id, rate')}")
+def str_14_pairs(spark, d):
+    rows = spark.createDataFrame([(c, a, b) for c, _, a, b in _PAIRS], "case_id string, a string, b string")
+    return rows.select("case_id", F.bround(rewrite.change_rate("a", "b"), 4).alias("rate"))
+
+
+@query("rw_2_polish_known", f"SELECT case_id, text, change_rate::DOUBLE AS change_rate, changed, aborted FROM {X.values([(c, b, rate, a != b, c.startswith('gate')) for (c, _, a, b), (_, rate) in zip(_PAIRS, _RATES, strict=True)], 't', 'case_id, text, change_rate, changed, aborted')}")
+def rw_2_known(spark, d):
+    """Rewrites of the cases by level with their rate of change, whether a rule changed them, and whether they were given up."""
+    parts = [rewrite.polish(X.rewrites(spark, level), level, scores=False) for level in R.RISKS]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select(F.col("doc_id").alias("case_id"), "text", "change_rate", (F.size("changes") > 0).alias("changed"), "aborted")
+
+
 @query("str_16_prompts")
 def str_16(spark, d):
     return prompt.prompts(all_texts(spark, d))
@@ -522,15 +548,52 @@ def evl_2(spark, d):
     return points.select("slice", F.col("target_fpr").cast("double").alias("target_fpr"), F.round("threshold", 6).alias("threshold"), F.round("tpr", 9).alias("tpr"))
 
 
-@query("agg_19_summary", f"WITH {_SLICES_SQL} SELECT slice, round(avg(score) FILTER (positive = 0), 6) AS mean_human, round(avg(score) FILTER (positive = 1), 6) AS mean_ai FROM rows GROUP BY slice")
+_AUROC_SQL = "u AS (SELECT slice, sum(CASE WHEN a.score > h.score THEN 1.0 WHEN a.score = h.score THEN 0.5 ELSE 0 END) AS wins FROM rows a JOIN rows h USING (slice) WHERE a.positive = 1 AND h.positive = 0 GROUP BY slice), au AS (SELECT slice, sum(1 - positive)::BIGINT AS n_human, sum(positive)::BIGINT AS n_ai, coalesce(any_value(wins)::DOUBLE / nullif(sum(positive) * sum(1 - positive), 0)::DOUBLE, 0.5) AS auroc, sum(round(score * 10)::BIGINT) FILTER (positive = 0)::DOUBLE / (10 * count(*) FILTER (positive = 0))::DOUBLE AS mean_human, sum(round(score * 10)::BIGINT) FILTER (positive = 1)::DOUBLE / (10 * count(*) FILTER (positive = 1))::DOUBLE AS mean_ai FROM rows LEFT JOIN u USING (slice) GROUP BY slice)"
+
+
+@query("agg_19_summary", f"WITH {_SLICES_SQL}, {_AUROC_SQL} SELECT slice, n_human, n_ai, round(auroc, 9) AS auroc, round(mean_human, 6) AS mean_human, round(mean_ai, 6) AS mean_ai FROM au")
 def agg_19(spark, d):
-    return evaluate.summary(scored(spark, d)).select("slice", F.round("mean_human", 6).alias("mean_human"), F.round("mean_ai", 6).alias("mean_ai"))
+    return evaluate.summary(scored(spark, d)).select("slice", "n_human", "n_ai", F.round("auroc", 9).alias("auroc"), F.round("mean_human", 6).alias("mean_human"), F.round("mean_ai", 6).alias("mean_ai"))
 
 
-@query("evl_4_adversarial_drop")
+@query("evl_4_adversarial_drop", f"WITH sc AS MATERIALIZED ({_SCORED_SQL}), h AS (SELECT list(score ORDER BY score DESC) AS l FROM sc WHERE positive = 0), t AS (SELECT l[floor(len(l) * 0.01)::BIGINT + 1] + 1e-9 AS threshold FROM h), p AS (SELECT avg((score >= threshold)::INT::DOUBLE) AS a, avg((score * 0.9 >= threshold)::INT::DOUBLE) AS b FROM sc, t WHERE positive = 1) SELECT round(a, 9) AS tpr_overall, round(b, 9) AS tpr_adversarial, round(a - b, 9) AS drop FROM p")
 def evl_4(spark, d):
     rows = scored(spark, d)
-    return evaluate.adversarial_drop(rows, rows.withColumn("score", F.col("score") * 0.9))
+    return _rounded(evaluate.adversarial_drop(rows, rows.withColumn("score", F.col("score") * 0.9)), 9)
+
+
+def _rounded(df: DataFrame, places: int) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+# A labelled corpus from end to end: texts are scored, then reported. Class 1 are the documents of low quality and the inline texts of the pattern cases.
+
+_LABELLED_SQL = f"SELECT t.doc_id, t.text, t.genre, CASE WHEN t.doc_id < -300 THEN 1 WHEN t.doc_id < 0 THEN 0 ELSE 1 - l.quality END AS label FROM ({KNOWN_SQL}) t LEFT JOIN labels l USING (doc_id) WHERE t.doc_id < 0 OR l.quality IS NOT NULL"
+
+
+def labelled_corpus(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("doc_id") < -300, 1).when(F.col("doc_id") < 0, 0).otherwise(1 - F.col("quality"))
+    joined = known_texts(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return joined.where("doc_id < 0 OR quality IS NOT NULL").select("doc_id", "text", "genre", label.alias("label"))
+
+
+def _real_scores_sql() -> str:
+    return f"sc AS MATERIALIZED (SELECT x.doc_id, x.score, x.n_chars, g.genre, g.label AS positive FROM ({layers_sql(_LABELLED_SQL)}) x JOIN ({_LABELLED_SQL}) g USING (doc_id))"
+
+
+_REAL_SLICES_SQL = "rows AS MATERIALIZED (SELECT unnest(['overall', 'length ' || CASE WHEN n_chars < 150 THEN '0-150' WHEN n_chars < 400 THEN '150-400' WHEN n_chars < 1000 THEN '400-1000' ELSE '1000+' END, 'genre ' || genre]) AS slice, positive, score FROM sc)"
+
+
+@query("evl_1_score_rows", f"WITH {_real_scores_sql()} SELECT doc_id, positive::INT AS positive, score, n_chars, genre FROM sc")
+def evl_1(spark, d):
+    return evaluate.score_rows(labelled_corpus(spark, d))
+
+
+@query("evl_6_evaluation", f"WITH {_real_scores_sql()}, {_REAL_SLICES_SQL}, {_AUROC_SQL} SELECT slice, n_human, n_ai, round(auroc, 4) AS auroc, round(mean_human, 1) AS mean_human, round(mean_ai, 1) AS mean_ai, CASE WHEN n_human = 0 OR n_ai = 0 THEN 1 ELSE 4 END AS n_lines FROM au")
+def evl_6(spark, d):
+    rows = evaluate.evaluation(evaluate.score_rows(labelled_corpus(spark, d)))
+    lines = evaluate.blocks(rows).select("slice", (F.size(F.split("block", "\n")) - 1).alias("n_lines"))
+    return rows.drop("operating_points").join(lines, "slice")
 
 
 # Corpus and calibration
@@ -563,24 +626,22 @@ def jn_9(spark, d):
     return corpus.generation_prompts(corpus.topics(documents(spark, d)), 500)
 
 
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", "genre", (1 - F.col("quality")).alias("label"))
-
-
-@query("agg_17_class_means")
+@query("agg_17_class_means", f"""WITH sc AS MATERIALIZED (SELECT x.*, g.label FROM ({layers_sql(_LABELLED_SQL, 15)}) x JOIN ({_LABELLED_SQL}) g USING (doc_id) WHERE length(g.text) >= 150),
+ m AS (SELECT layer, avg(v) FILTER (label = 0) AS human, avg(v) FILTER (label = 1) AS machine FROM (SELECT label, unnest(['l1', 'l2', 'l3', 'l4']) AS layer, unnest([l1, l2, l3, l4]) AS v FROM sc) GROUP BY layer)
+ SELECT layer, round(human, 6) AS human, round(machine, 6) AS machine, round(machine - human, 6) AS gap FROM m""")
 def agg_17(spark, d):
-    return calibrate.class_means(calibrate.features(_labelled(spark, d))).select("layer", *[F.round(k, 9).alias(k) for k in ("human", "machine", "gap")])
+    return _rounded(calibrate.class_means(calibrate.features(labelled_corpus(spark, d))), 6)
 
 
 @query("cal_2_fit")
 def cal_2(spark, d):
-    weights = calibrate.fit(calibrate.features(_labelled(spark, d)))
+    weights = calibrate.fit(calibrate.features(labelled_corpus(spark, d)), min_docs=1)
     return spark.createDataFrame(sorted(weights.items()), "name string, weight double")
 
 
-@query("agg_16_metric_baselines", f"SELECT genre, metric, round(round(avg(v), 5), 4) AS mean, count(*)::BIGINT AS n FROM (SELECT genre, unnest([{', '.join(X.quoted(k) for k in METRIC_SQL)}]) AS metric, unnest([{', '.join(METRIC_SQL)}]) AS v FROM ({metrics_sql(DOCS_SQL)}) WHERE length(text) >= 150) GROUP BY ALL HAVING count(*) >= 20")
+@query("agg_16_metric_baselines", f"SELECT genre, metric, round(round(avg(v), 5), 4) AS mean, round(round(stddev_pop(v), 5), 4) AS sd, count(*)::BIGINT AS n FROM (SELECT genre, unnest([{', '.join(X.quoted(k) for k in METRIC_SQL)}]) AS metric, unnest([{', '.join(METRIC_SQL)}]) AS v FROM ({metrics_sql(DOCS_SQL)}) WHERE length(text) >= 150) GROUP BY ALL HAVING count(*) >= 20")
 def agg_16(spark, d):
-    return calibrate.metric_baselines(documents(spark, d)).select("genre", "metric", F.round("mean", 4).alias("mean"), "n")
+    return calibrate.metric_baselines(documents(spark, d)).select("genre", "metric", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "n")
 
 
 # History: events as a log

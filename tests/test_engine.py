@@ -4,12 +4,13 @@ import difflib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from munjang.functions import registry as R
 from munjang.functions.dialect import java, required_literals
-from munjang.operators import calibrate, corpus, detect, evaluate, history, rewrite
+from munjang.operators import calibrate, corpus, detect, evaluate, history, prompt, report, rewrite
 from munjang.plans import fixtures as X
 from munjang.sources import documents as S
 
@@ -171,6 +172,106 @@ def test_calibration(spark):
         calibrate.fit(df.limit(10))
 
 
+def test_fit_agrees_with_plain_descent(spark):
+    r = np.random.default_rng(2)
+    x = np.column_stack([r.normal(0, 1, 300), r.gamma(2, 0.5, 300), r.uniform(0, 2, 300), r.uniform(0, 1, 300)])
+    y = (r.random(300) < 1 / (1 + np.exp(-(x @ [1.0, 1.2, 0.5, -1.0] - 1.5)))).astype(int)
+    w, b = np.zeros(4), 0.0
+    for _ in range(3000):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.3 * (x.T @ error / len(y) + calibrate.RIDGE * w), b - 0.3 * error.mean()
+    rows = [(i, int(t), *map(float, v)) for i, (v, t) in enumerate(zip(x, y, strict=True))]
+    got = calibrate.fit(spark.createDataFrame(rows, "doc_id long, label int, l1 double, l2 double, l3 double, l4 double"))
+    assert np.abs(np.array(list(got.values())) - [*w, b]).max() < 2e-2
+
+
+def test_calibration_from_end_to_end(spark, tmp_path):
+    rows = [(i, (PERSON, MACHINE)[i % 2][i % 5 * 10 :] + f" {i}", "essay", i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, genre string, label int")
+    weights, baseline = calibrate.run(docs)
+    assert not list(tmp_path.iterdir()) and set(weights) == set(R.FUSION)
+    assert baseline["genres"]["essay"]["comma_inclusion_rate"]["n"] == 30
+    calibrate.run(docs, f"file://{tmp_path}/w", f"file://{tmp_path}/b")
+    text = "\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/w", wholetext=True).collect())
+    assert calibrate.read_weights(text) == weights and '"_n_human": 30' in text
+
+
+def test_evaluation_of_a_labelled_corpus(spark):
+    rows = [(i, (PERSON, MACHINE)[i % 2] if i < 8 else (PERSON[:120] if i == 8 else MACHINE), "essay" if i < 8 else "blog", i % 2) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, genre string, label int")
+    scored = evaluate.score_rows(docs)
+    again = evaluate.score_rows(corpus.adversarial(docs.where("label = 1").drop("label"), "aggressive").withColumn("label", F.lit(1)))
+    got = {r.slice: r for r in evaluate.evaluation(scored, again).collect()}
+    assert got["overall"].auroc == 1.0 and got["overall"].operating_points[0].tpr == 1.0 and (got["overall"].n_human, got["overall"].n_ai) == (5, 5)
+    assert got["length 0-150"].n_ai == 0 and got["adversarial"].n_human == 5 and got["adversarial"].mean_ai < got["overall"].mean_ai
+    said = {r.slice: r.block for r in evaluate.blocks(evaluate.evaluation(scored)).collect()}
+    assert said["length 0-150"].endswith("too few texts") and "AUROC 1.0000" in said["overall"] and len(said["overall"].split("\n")) == 5
+    assert '"auroc":1.0' in {r.slice: r.result for r in evaluate.as_json(evaluate.evaluation(scored)).collect()}["overall"]
+    points = {r.slice: r for r in evaluate.operating_points(evaluate.slices(scored), (0.01,)).collect()}
+    assert abs(points["overall"].threshold - got["overall"].operating_points[0].threshold) < 0.01
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, MACHINE, "essay"), (5, MACHINE, "essay"), (5, "결론적으로, 매우 정말 짧다.", "essay"), (5, MACHINE, "essay")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, genre string")
+    alone = {t: r for _, t, _ in rows for r in rewrite.polish(table(spark, t)).collect()}
+    got = rewrite.polish(docs).collect()
+    assert sorted((str(r.doc_id), r.before_score, r.after_score, r.text) for r in got) == sorted((str(d), alone[t].before_score, alone[t].after_score, alone[t].text) for d, t, _ in rows)
+    assert corpus.adversarial(docs, "moderate").count() == 4 - sum(alone[t].aborted for _, t, _ in rows)
+    single = detect.sentence_scores(table(spark, MACHINE)).count()
+    assert detect.sentence_scores(docs).where("doc_id IS NULL").count() == single
+    assert detect.sentence_scores(docs).where("doc_id = 5").count() == 2 * single + 1
+    assert len(report.report_json(docs).collect()) == 4 and len(prompt.prompts(docs).collect()) == 4
+
+
+def test_hits_come_in_order(spark):
+    found = detect.hits(table(spark, MACHINE + PERSON)).collect()
+    assert len(found) > 10 and [(r.start, r.end) for r in found] == sorted((r.start, r.end) for r in found)
+    inside = detect.sentence_hits(table(spark, MACHINE + PERSON)).collect()
+    spans = {r.idx: r for r in detect.sentence_scores(table(spark, MACHINE + PERSON)).collect()}
+    assert inside and all(spans[r.idx].start <= r.start < spans[r.idx].end for r in inside)
+    assert sum(len(r.hit_ids) for r in spans.values()) == len(inside)
+
+
+def test_imports(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("사람이 쓴 글이다. " * 60)
+    (tmp_path / "in" / "b.md").write_text("짧다.")
+    (tmp_path / "in" / "c.docx").write_bytes(b"broken")
+    folder = str(tmp_path / "in")
+    with pytest.raises(ValueError):
+        corpus.import_files(spark, [folder], "human")
+    kept, failed = corpus.import_files(spark, [folder, folder], "human", before_models=True)
+    assert kept.count() == 1 and failed.count() == 1
+    assert corpus.import_files(spark, [folder], "human", before_models=True, existing=kept)[0].count() == 0
+    page = lambda title, ns, text: f"<page><title>{title}</title><ns>{ns}</ns><revision><text>{text}</text></revision></page>"
+    long = "가나다라마바사 " * 80
+    dump = tmp_path / "kowiki-20221001-pages.xml"
+    dump.write_text("<mediawiki>" + page("A", 0, long) + page("B", 1, long + "나") + page("C", 0, "  #redirect [[A]] " + long) + page("D", 0, "#넘겨주기 [[A]] " + long) + page("E", 0, long + "마") + page("F", 0, "") + "</mediawiki>")
+    assert corpus.import_wiki(spark, str(dump), "human").count() == 2
+    assert corpus.import_wiki(spark, str(dump), "human", limit=1).count() == 1
+    late = tmp_path / "kowiki-20240101-pages.xml"
+    late.write_text(dump.read_text())
+    with pytest.raises(ValueError):
+        corpus.import_wiki(spark, str(late), "human")
+    assert corpus.import_wiki(spark, str(late), "ai", force=True).count() == 2
+    (tmp_path / "topics").write_text("첫 주제\n\n  둘째 주제  \n")
+    assert sorted(r.topic for r in corpus.topics_of_file(spark, str(tmp_path / "topics")).collect()) == ["둘째 주제", "첫 주제"]
+
+
+def test_hwp_streams():
+    record = lambda text: (67 | 2 * len(text) << 20).to_bytes(4, "little") + text.encode("utf-16-le")
+    header = lambda flags: b"HWP Document File".ljust(36, b"\0") + flags.to_bytes(4, "little")
+    packer = zlib.compressobj(wbits=-15)
+    packed = packer.compress(record("둘")) + packer.flush()
+    packer = zlib.compressobj(wbits=-15)
+    streams = {"FileHeader": lambda: header(1), "BodyText/Section10": lambda: packed, "BodyText/Section2": lambda: packer.compress(record("하나")) + packer.flush(), "DocInfo": bytes}
+    assert S.hwp_body(streams) == "하나\n\n둘"
+    for bad in ({}, {"FileHeader": lambda: b"x"}, {"FileHeader": lambda: header(2), "BodyText/Section0": bytes}, {"FileHeader": lambda: header(0)}):
+        with pytest.raises(S.ParseError):
+            S.hwp_body(bad)
+
+
 def test_stream_scores_as_batch(spark, tmp_path):
     from munjang.streaming import scores
 
