@@ -108,7 +108,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     there = sorted(tops)
     # Descending: the range before is the next higher one; the highest's first follows the lowest's last.
     before = {p: there[(i + 1) % len(there)] for i, p in enumerate(there)}
-    leaf = lambda p: F.struct(F.lit(p).alias("part"), F.lit(tops.get(p)).cast("long").alias("top"), F.lit(before.get(p)).cast("int").alias("before"))
+    key = shared.partition_keys(docs.sparkSession, n)  # one range for each partition
+    leaf = lambda p: F.struct(F.lit(key[p]).alias("part"), F.lit(tops.get(p)).cast("long").alias("top"), F.lit(key[before[p]] if p in before else None).cast("int").alias("before"))
     placed = docs.withColumn("at", _leaf(cuts, [leaf(p) for p in range(len(cuts) + 1)]))
     own = F.struct(F.col("at.part").alias("part"), F.lit(False).alias("extra"))
     also = F.struct(F.col("at.before").alias("part"), F.lit(True).alias("extra"))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 _own: list[str] = []
@@ -45,13 +46,36 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def sweep(spark: SparkSession, hours: float = 24.0) -> int:
+    """Delete what jobs wrote to the shared folder more than ``hours`` ago, through Spark's own file systems; the number of tables and files that went. Results are read lazily from these tables, so young ones stay."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/munjang")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return 0
+    # Now is what the folder's own clock says, which need not be that of this machine.
+    mark = spark._jvm.org.apache.hadoop.fs.Path(root, f"now-{uuid.uuid4().hex}")
+    files.create(mark).close()
+    now = files.getFileStatus(mark).getModificationTime()
+    files.delete(mark, False)
+    old = [x.getPath() for x in files.listStatus(root) if x.getModificationTime() < now - 3_600_000 * hours]
+    return sum(bool(files.delete(x, True)) for x in old)
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n hash partitions an int that ``repartition`` puts there, so that n groups fill n partitions evenly."""
+    k = F.col("id").cast("int")
+    found = spark.range(24 * n).select(F.pmod(F.hash(k), F.lit(n)).alias("p"), k.alias("k")).groupBy("p").agg(F.min("k").alias("k"))
+    keys = {r["p"]: r["k"] for r in found.collect()}
+    return [keys.get(p, p) for p in range(n)]
+
+
 #: Rows of an Arrow batch of texts at most: ten thousand, Spark's default, may be a hundred megabytes on either side.
 BATCH_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """``docs`` as the Arrow maps take them: in small batches, and over all cores where a small input lies in fewer parts (a large one is never moved)."""
+    """``docs`` as the Arrow maps take them: in small batches (a setting of the session, as a lazy result is run after this returns), and over all cores where a small input lies in fewer parts (a large one is never moved)."""
     spark = docs.sparkSession
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))

@@ -536,6 +536,118 @@ def test_page_text(spark, labeller):
     assert [(r.text, r.n_chars) for r in htmltext.extract(odd, labeller).collect()] == [("", 0)] * 3
 
 
+def test_ordinal_fit_is_at_the_best_of_its_likelihood():
+    r = np.random.default_rng(7)
+    n = 240
+    y = (np.arange(n) % 3 == 0).astype(int)
+    doc, ids = [], []
+    for i in range(n):
+        words = r.choice(12, 6, replace=False) + (100 if y[i] else 0) * (r.random(6) < 0.7)
+        doc += [i] * 6
+        ids += words.tolist()
+    doc, ids = np.array(doc), np.array(ids)
+    counts = r.integers(1, 4, len(ids))
+    model = toxicity.fit(n, doc, ids, counts, y, rounds=3000)
+    kept = np.flatnonzero(model.weights)
+    assert len(kept) and set(kept) <= set(range(100, 112)) and (np.diff(model.thresholds) > 0).all()
+    value = np.log2(1.0 + counts)
+    held = np.isin(ids, toxicity.choose(doc, ids, y))
+    grades = toxicity.grade(np.bincount(doc[held], value[held], n), y, toxicity.GRADES)
+    assert set(grades[y == 0]) == {0} and grades[y == 1].min() == 1
+    balance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * n
+
+    def likelihood(weights, thresholds):
+        score = np.bincount(doc, value * weights[ids], n)
+        total = 0.0
+        for i in range(n):
+            at_least = [1.0, *(1 / (1 + math.exp(-(score[i] - t))) for t in thresholds), 0.0]
+            total += balance[i] * math.log(max(1e-12, at_least[grades[i]] - at_least[grades[i] + 1]))
+        return total / n - 0.5e-4 * (weights**2).sum()
+
+    best = likelihood(model.weights, model.thresholds)
+    for _ in range(60):
+        moved = model.weights.copy()
+        moved[kept] += r.normal(0, 0.05, len(kept))
+        assert likelihood(moved, np.sort(model.thresholds + r.normal(0, 0.05, len(model.thresholds)))) <= best + 2e-3
+
+
+def test_logistic_and_co_training_against_plain_sums():
+    from munjang.llm.labelled import logistic, sigmoid
+
+    r = np.random.default_rng(8)
+    x = r.normal(0, 1, (200, 3))
+    y = (r.random(200) < sigmoid(x @ [1.0, -2.0, 0.5] + 0.3)).astype(float)
+    w = logistic(x, y, ridge=0.7)
+    slope = np.zeros(4)
+    for row, t in zip(x, y, strict=True):
+        slope += (t - 1 / (1 + math.exp(-(row @ w[:3] + w[3])))) * np.append(row, 1)
+    assert np.abs(slope - np.append(0.7 * w[:3], 1e-6 * w[3])).max() < 1e-4
+    # Views that see different halves of the truth teach each other: both find classes that few labels show.
+    truth = r.integers(0, 2, 1200)
+    views = [truth[:, None] * 2.0 + r.normal(0, 0.7, (1200, 2)) for _ in range(2)]
+    few = np.arange(16)
+    model = quality.co_train([v[few] for v in views], truth[few].astype(float), few, [v[100:1100] for v in views], 0.5)
+    p = model.probability(views[0][1100:], views[1][1100:])
+    assert ((p >= 0.5) == truth[1100:]).mean() > 0.95
+
+
+def test_empty_tables_and_long_texts(spark, labeller):
+    empty = docs(spark, (1, "x")).limit(0)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert bpe.encode_decode(empty).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert htmltext.extract(pages, labeller).count() == 0
+    assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
+    wide = empty.selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "1L AS n_chars")
+    assert quality.score(wide, quality.train(wide, labels)).count() == 0 and quality.train(wide, labels.limit(0)) is None
+    long = docs(spark, (1, "word and other words, " * 100_000), (2, "x" * 1_000_000), (3, None))
+    assert [r.is_toxic for r in toxicity.score(long, toxicity.train(long, labels.limit(0))).collect()] == [False] * 3
+    features = quality.text_features(long.select("text").toArrow()["text"].combine_chunks())
+    assert features.shape == (3, quality.TEXT_FEATURES) and np.isfinite(features).all()
+    page = "<article>" + "<p>The quick river runs along the old town.</p>" * 4000 + "</article>"
+    got = htmltext.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), labeller).first()
+    assert got.n_chars > 4000 * 20
+
+
+def test_shared_folder(spark, monkeypatch, tmp_path):
+    with monkeypatch.context() as m:
+        m.setattr(shared, "folder", lambda spark: f"file://{tmp_path}/shared")
+        assert shared.sweep(spark) == 0
+        kept = shared.save(spark.range(3), "kept")
+        assert shared.sweep(spark, hours=1.0) == 0 and kept.count() == 3
+        assert shared.sweep(spark, hours=-1.0) == 1 and not list((tmp_path / "shared" / "munjang").iterdir())
+    keys = shared.partition_keys(spark, 7)
+    rows = spark.createDataFrame([(k,) for k in keys], "k int").repartition(7, "k").select(F.spark_partition_id().alias("p")).collect()
+    assert sorted(r.p for r in rows) == list(range(7))
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda *_: None)}))
+
+    with pytest.raises(ValueError):
+        shared.folder(Cluster)
+
+
+def test_tree_prunes_pairs_of_nodes():
+    """A tree of three levels over groups of near copies: node pairs of different groups go before their leaves are met."""
+    r = np.random.default_rng(3)
+    sets = []
+    for _ in range(16):
+        base = r.integers(0, 2**63, 60).astype(np.uint64)
+        sets += [np.unique(np.append(base[: 60 - k], r.integers(0, 2**63, k).astype(np.uint64))) for k in range(8)]
+    maps, sizes = np.stack([jaccard.fold(jaccard.token_bits(s)) for s in sets]), np.array([len(s) for s in sets])
+    tree = jaccard.SignatureTree(maps, sizes, np.arange(len(sets)))
+    assert [len(x[1]) for x in tree.levels] == [128, 16, 2]
+    a, b = np.triu_indices(16, 1)
+    assert len(tree.possible(tree.levels[1], a, b, 75)) < len(a) / 2
+    kept = set(zip(*(x.tolist() for x in tree.pairs(75)), strict=True))
+    assert {(i, j) for i in range(128) for j in range(i + 1, 128) if jaccard.similar(sets[i], sets[j], 75)} <= kept
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
