@@ -188,8 +188,9 @@ placed AS (
   SELECT h.*, length(regexp_replace(src.text[1:h.start], '\s', '', 'g')) AS at, regexp_matches(src.text[h.start + 1:h.start + 1], '\s') AS blank FROM hits h JOIN src USING (doc_id)
 )
 SELECT e.doc_id, e.idx, any_value(e.text) AS text, round(greatest(0.0, least(100.0, 100 * (1 - exp(-coalesce(sum(p.w), 0.0) / greatest(length(any_value(e.text)), 1) * 100 / 5)))), 1) AS score,
-  coalesce(string_agg(p.pattern_id, ' ' ORDER BY p.start, p."end", p.ord), '') AS hit_ids
+  coalesce(string_agg(p.pattern_id, ' ' ORDER BY p.start, p."end", p.ord), '') AS hit_ids, coalesce(list(p.pattern_id ORDER BY p.start, p."end", p.ord) FILTER (p.pattern_id IS NOT NULL), []) AS every
 FROM edges e LEFT JOIN placed p ON p.doc_id = e.doc_id AND p.at >= e.first AND p.at < e.past AND NOT (p.blank AND p.at = e.first) GROUP BY e.doc_id, e.idx"""
+SENTENCE_SCORES_SQL = f"SELECT * EXCLUDE (every), array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i), ' ') AS unique_ids FROM ({SENTENCE_SCORES_SQL})"
 
 
 def layers_sql(source: str, places: int = 6) -> str:
@@ -219,6 +220,31 @@ SELECT doc_id, n_chars, n_sentences, round(l1, {places}) AS l1, round(l2, {place
 FROM f"""
 
 
+def report_sql(source: str) -> str:
+    """Score, number of signals and notes, and the keys of the signals, strongest first."""
+    size = f"greatest(length({strip('text')}), {R.LEAST_DENSITY_CHARS})"
+    signal = lambda cond, strength, order, key: f"CASE WHEN {cond} THEN {{'s': -greatest(0.0, least(1.0, {strength})), 'o': {order}, 'k': {X.quoted(key)}}} END"
+    each = [signal(f"abs({z_sql(k)}) >= 0.8", f"abs({z_sql(k)}) / 3", i, k) for i, k in enumerate(detect.METRICS)]
+    for i, p in enumerate(R.PATTERNS):
+        contribution = f"least(counts[{i + 1}] * 1000.0::DOUBLE / {size}, {max(p.cap, R.LEAST_CAP)}) * {p.weight}::DOUBLE"
+        each.append(signal(f"{contribution} >= 0.5", f"({contribution}) / 6", 100 + i, p.id))
+    rhythm = (("sentence_len_cv", "len(s) >= 4 AND cv < 0.35", "(0.35 - cv) / 0.25"), ("ending_diversity", "len(s) >= 4 AND ending_diversity < 0.45", "(0.45 - ending_diversity) / 0.30"), ("long_sentence_absence", "len(s) >= 15 AND long_share < 0.04", "(0.04 - long_share) / 0.04"), ("normalisation_score", "len(s) >= 4 AND declarative_ratio > 0.75", "(declarative_ratio - 0.75) / 0.25"))
+    each += [signal(cond, v, 200 + i, k) for i, (k, cond, v) in enumerate(rhythm)]
+    for i, h in enumerate(R.HUMAN):
+        n = f"human[{i + 1}]"
+        each.append(signal(f"{n} > 0", f"least({n} * 1000.0::DOUBLE / {size}, 6.0) * {h.weight}::DOUBLE / 4", 300 + i, h.id))
+    skipped = " + ".join(f"({z_sql(k)} IS NULL)::INT" for k in detect.METRICS)
+    return f"""
+WITH m AS MATERIALIZED (
+  SELECT *, list_transform(s, lambda x: length(x)::DOUBLE) AS lens, [{', '.join(count_sql(p) for p in R.PATTERNS)}] AS counts, [{', '.join(n_matches("text", re2(h.expression)) for h in R.HUMAN)}] AS human FROM ({metrics_sql(source)})
+), q AS MATERIALIZED (
+  SELECT *, {ratio("list_stddev_pop(lens)", "list_avg(lens)")} AS cv, {ratio("len(list_filter(lens, lambda x: x >= 100))", "len(s)")} AS long_share FROM m
+), f AS (
+  SELECT doc_id, list_sort(list_filter([{', '.join(each)}], lambda x: x IS NOT NULL)) AS found, 1 + (length({strip('text')}) < 400)::INT + (({skipped}) > 0)::INT AS n_notes FROM q
+)
+SELECT f.doc_id, l.score, len(found)::INT AS n_signals, n_notes::INT AS n_notes, array_to_string(list_transform(found, lambda x: x.k), ' ') AS signals FROM f JOIN ({layers_sql(source)}) l USING (doc_id)"""
+
+
 def _layer_columns(df: DataFrame) -> DataFrame:
     return detect.fused(detect.layers(df)).select("doc_id", "n_chars", F.size("sents").cast("long").alias("n_sentences"), *[F.round(k, 6).alias(k) for k in ("l1", "l2", "l3", "l4", "logit")], "score", "band", "confidence")
 
@@ -253,6 +279,32 @@ def src_6(spark, d):
     return S.parse_files(files).select("path", "text", F.col("error").isNotNull().alias("failed"))
 
 
+def _bomb() -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<p>" + " " * 4_000_000 + "</p>")
+    return out.getvalue()
+
+
+_ENCODED = [("utf8.txt", "한글 문장이다.".encode(), "한글 문장이다."), ("cp949.txt", "똠방각하 펲시콜라".encode("cp949"), "똠방각하 펲시콜라"), ("euckr.md", "한국어 글".encode("euc-kr"), "한국어 글"), ("utf16.txt", "한글 문장".encode("utf-16"), "한글 문장"), ("odd.TXT", "가\u200b나\u00a0다".encode(), "가나 다"), ("bomb.docx", _bomb(), None), ("empty.hwp", b"", None), ("blank.txt", b" \n ", "")]
+
+
+@query("src_1_encodings_and_limits", f"SELECT path, text, failed FROM {X.values([(p, t, t is None) for p, _, t in _ENCODED], 't', 'path, text, failed')}")
+def src_1(spark, d):
+    """Encodings in the order tried, and files that unpack to too much or hold nothing."""
+    files = spark.createDataFrame([(p, b) for p, b, _ in _ENCODED], "path string, content binary")
+    return S.parse_files(files).select("path", "text", F.col("error").isNotNull().alias("failed"))
+
+
+_LONG = "세종대왕이 훈민정음을 창제하면서 표기 체계가 갖추어졌다고 널리 알려져 있으며 오늘날까지 이어진다. "
+_PAGES = [("kept", 0, _LONG * 8), ("other name space", 1, _LONG * 8), ("redirect", 0, " #redirect [[kept]] " + _LONG * 8), ("moved", 0, "#넘겨주기 [[kept]]\n" + _LONG * 8), ("short", 0, _LONG), ("markup", 0, "== 제목 ==\n* 목록\n'''굵은''' [[링크|말]] " + _LONG * 8), ("empty", 0, None)]
+
+
+@query("src_13_wiki_pages", f"SELECT title, n::INT AS n FROM {X.values([('kept', 8 * len(_LONG) - 1), ('markup', 8 * len(_LONG) + 4)], 't', 'title, n')}")
+def src_13(spark, d):
+    return corpus.wiki_pages(spark.createDataFrame(_PAGES, "title string, ns long, text string")).select("title", F.length("text").alias("n"))
+
+
 @query("src_16_genre_of_path", f"SELECT path, coalesce(nullif(regexp_extract(path, '([^/]*?)__[^/]*$', 1), ''), 'essay') AS genre FROM {X.values([('human/column__ab12.txt',), ('x/plain.txt',), ('__no.txt',), ('a__b__c.txt',)], 't', 'path')}")
 def src_16(spark, d):
     return spark.createDataFrame([("human/column__ab12.txt",), ("x/plain.txt",), ("__no.txt",), ("a__b__c.txt",)], "path string").select("path", corpus.genre_of_path("path").alias("genre"))
@@ -453,9 +505,10 @@ def flt_9(spark, d):
     return table(spark, d, "events").select("event_id", detect.band("value").alias("band"))
 
 
-@query("scr_4_report")
+@query("scr_4_report", report_sql(ALL_SQL))
 def scr_4(spark, d):
-    return detect.analyze(X.texts(spark).unionByName(documents(spark, d).select("doc_id", "text", "genre"))).select("doc_id", "score", F.size("signals").alias("n_signals"), F.size("notes").alias("n_notes"), F.to_json("signals").alias("signals"))
+    full = detect.analyze(all_texts(spark, d))
+    return full.select("doc_id", "score", F.size("signals").alias("n_signals"), F.size("notes").alias("n_notes"), F.array_join("signals.key", " ").alias("signals"))
 
 
 @query("rw_3_hits", f'WITH {hits_sql(KNOWN_SQL)} SELECT doc_id, pattern_id, start, "end", text FROM hits')
@@ -465,7 +518,7 @@ def rw_3(spark, d):
 
 @query("scr_3_sentence_scores", SENTENCE_SCORES_SQL)
 def scr_3(spark, d):
-    return detect.sentence_scores(known_texts(spark, d)).select("doc_id", "idx", "text", "score", F.array_join("hit_ids", " ").alias("hit_ids"))
+    return detect.sentence_scores(known_texts(spark, d)).select("doc_id", "idx", "text", "score", F.array_join("hit_ids", " ").alias("hit_ids"), F.array_join(F.array_distinct("hit_ids"), " ").alias("unique_ids"))
 
 
 @query("win_1_sentence_offsets", f"SELECT doc_id, i::INT AS idx, x AS text FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM ({split_sql(DOCS_SQL)}))")
