@@ -528,10 +528,11 @@ def win_1(spark, d):
     return placed.select("doc_id", "idx", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("text"))
 
 
-@query("srt_3_top_sentences", f"SELECT doc_id, i::INT AS idx, n FROM (SELECT doc_id, i, length(x)::BIGINT AS n, row_number() OVER (PARTITION BY doc_id ORDER BY length(x) DESC, i) AS r FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM ({split_sql(DOCS_SQL)}))) WHERE r <= 5")
+@query("srt_3_top_sentences", f"SELECT doc_id, idx, score FROM (SELECT doc_id, idx, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS r FROM ({SENTENCE_SCORES_SQL}) WHERE score > 25) WHERE r <= 12")
 def srt_3(spark, d):
-    top = F.slice(F.array_sort(F.transform(T.sentences("text"), lambda x, i: F.struct((-F.length(x)).alias("down"), i.alias("idx")))), 1, 5)
-    return documents(spark, d).select("doc_id", F.explode(top).alias("t")).select("doc_id", "t.idx", (-F.col("t.down")).cast("long").alias("n"))
+    """The sentences that a report shows: the highest scores, above the floor."""
+    rows = detect.with_sentence_scores(known_texts(spark, d)).select("doc_id", F.explode(report.worst_sentences(report.HOT, report.SHOWN_SENTENCES)).alias("t"))
+    return rows.select("doc_id", "t.idx", (-F.col("t.down")).alias("score"))
 
 
 @query("snk_7_registry", f"SELECT * FROM {X.values([(p.id, p.name, p.severity, p.weight, p.risk, p.min_count) for p in R.PATTERNS], 't', 'pattern_id, name, severity, weight, risk, min_count')}".replace("SELECT *", "SELECT pattern_id, name, severity::INT AS severity, weight::DOUBLE AS weight, risk, min_count::INT AS min_count"))
@@ -730,9 +731,9 @@ def his_5(spark, d):
     return history.stats(_log(spark, d).withColumn("kind", F.when(F.col("kind") == "click", "detect").otherwise(F.col("kind"))))
 
 
-@query("jn_4_hits_in_sentences", f"SELECT doc_id, i::INT AS idx, len(regexp_extract_all(x, '\\([^)\\n]{{6,60}}\\)'))::BIGINT AS n FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM ({split_sql(DOCS_SQL)})) WHERE len(regexp_extract_all(x, '\\([^)\\n]{{6,60}}\\)')) > 0")
+@query("jn_4_hits_in_sentences", f"SELECT doc_id, i::INT AS idx, len(regexp_extract_all(x, '\\([^)\\n]{{6,60}}\\)'))::BIGINT AS n FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM ({split_sql(KNOWN_SQL)})) WHERE len(regexp_extract_all(x, '\\([^)\\n]{{6,60}}\\)')) > 0")
 def jn_4(spark, d):
-    return detect.sentence_hits(documents(spark, d), ("J-4",), apply_min_count=False).groupBy("doc_id", "idx").agg(F.count("*").alias("n"))
+    return detect.sentence_hits(known_texts(spark, d), ("J-4",), apply_min_count=False).groupBy("doc_id", "idx").agg(F.count("*").alias("n"))
 
 
 # Single layers, gates and joins with the fixed tables
@@ -764,12 +765,18 @@ def _subset_counts(docs: DataFrame) -> DataFrame:
 _LEVELS = [(level, p.id) for level in (*R.RISKS, "unknown") for p in rewrite.rules(level)]
 
 
-@query("flt_3_risk_gate", f"SELECT * FROM {X.values([(lv, p.id) for lv, top in (('safe', 0), ('moderate', 1), ('aggressive', 2), ('unknown', 1)) for p in R.PATTERNS if p.id in rewrite.REWRITES and R.RISKS.index(p.risk) <= top], 't', 'level, pattern_id')}")
+#: Patterns with a rewrite, by the level from which it is applied.
+_SAFE, _MODERATE, _AGGRESSIVE = "A-8 C-5 C-11a", "A-7 A-20 A-50 A-51 D-1a D-1b D-1c G-2 G-2b", "A-2 A-17 C-50 D-50 F-1"
+_GATED = [(level, k) for level, ids in (("safe", _SAFE), ("moderate", f"{_SAFE} {_MODERATE}"), ("aggressive", f"{_SAFE} {_MODERATE} {_AGGRESSIVE}"), ("unknown", f"{_SAFE} {_MODERATE}")) for k in ids.split()]
+_REWRITABLE = ", ".join(X.quoted(k) for k in f"{_SAFE} {_MODERATE} {_AGGRESSIVE}".split())
+
+
+@query("flt_3_risk_gate", f"SELECT * FROM {X.values(_GATED, 't', 'level, pattern_id')}")
 def flt_3(spark, d):
     return spark.createDataFrame(_LEVELS, "level string, pattern_id string")
 
 
-@query("flt_11_detect_only", f"SELECT * FROM {X.values([(p.id,) for p in R.PATTERNS if p.id not in rewrite.REWRITES], 't', 'pattern_id')}")
+@query("flt_11_detect_only", f"SELECT * FROM {X.values([(p.id,) for p in R.PATTERNS], 't', 'pattern_id')} WHERE pattern_id NOT IN ({_REWRITABLE})")
 def flt_11(spark, d):
     return detect.registry_table(spark).where(~F.col("pattern_id").isin(*rewrite.REWRITES)).select("pattern_id")
 
@@ -779,7 +786,7 @@ def flt_12(spark, d):
     return documents(spark, d).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda p: F.length(p) >= corpus.PARAGRAPH_CHARS)).cast("long").alias("n"), corpus.hangul_share(F.col("text")).alias("hangul"))
 
 
-@query("prj_2_registry_columns", f"SELECT * FROM {X.values([(p.id, R.CATEGORIES[p.id[0]], p.id in rewrite.REWRITES) for p in R.PATTERNS], 't', 'pattern_id, category_name, rewritable')}")
+@query("prj_2_registry_columns", f"SELECT pattern_id, CASE left(pattern_id, 1) WHEN 'A' THEN '번역투' WHEN 'B' THEN '영어 인용·용어 과다' WHEN 'C' THEN '구조적 AI 패턴' WHEN 'D' THEN 'AI 특유 관용구' WHEN 'E' THEN '리듬 균일성' WHEN 'F' THEN '수식·중복' WHEN 'G' THEN 'hedging 남용' WHEN 'H' THEN '접속사 남발' WHEN 'I' THEN '형식명사·의존명사 과다' ELSE '시각 장식 남용' END AS category_name, pattern_id IN ({_REWRITABLE}) AS rewritable FROM {X.values([(p.id,) for p in R.PATTERNS], 't', 'pattern_id')}")
 def prj_2(spark, d):
     return detect.registry_table(spark).select("pattern_id", "category_name", F.col("pattern_id").isin(*rewrite.REWRITES).alias("rewritable"))
 
