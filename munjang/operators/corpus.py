@@ -21,7 +21,7 @@ PROMPTS = (
 )
 TEMPERATURES = (0.3, 0.6, 0.8, 1.0)
 CUTOFF = (2022, 11)
-#: Wiki markup: expression and replacement, applied in this order, three times.
+#: Fixed values too: wiki markup, expression and replacement, applied in this order, three times.
 MARKUP = (
     (r"(?s)<ref[^>]*>.*?</ref>", ""),
     (r"<ref[^>]*/>", ""),
